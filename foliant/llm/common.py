@@ -79,7 +79,25 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def unsigned(values):
-    import numpy as np
+def text_words(text: Column) -> Column:
+    """The words of text as an array; none for null."""
+    return F.coalesce(F.filter(F.split(text, SPACES_PATTERN), lambda w: w != ""), F.array().cast("array<string>"))
 
-    return np.asarray(values, dtype=np.int64).view(np.uint64)
+
+#: A side of more rows than this is never broadcast; rows are then dealt over salts.
+BROADCAST_ROWS = 20_000
+SALTS = 64
+
+
+def join_small(rows: DataFrame, small: DataFrame, key: str, small_key: str, how: str = "inner") -> DataFrame:
+    """rows joined to a table with one row per key, null matching null; small_key is dropped.
+
+    The table is counted: a small one is broadcast, and of a larger one each row
+    goes to every salt, so that a hot key of rows does not land in one task.
+    """
+    same = F.col(small_key).eqNullSafe(F.col(key))
+    if small.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(small), same, how).drop(small_key)
+    dealt = rows.withColumn("_row_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return dealt.join(copies, same & (F.col("_salt") == F.col("_row_salt")), how).drop(small_key, "_salt", "_row_salt")

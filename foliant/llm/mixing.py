@@ -5,15 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import join_small, materialise, word_count
 
 #: Weights that sources take in turn, in ascending order of name, null last.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = "mix-1"
-#: A plan of more sources than this is joined by shuffle, with as many salts.
-BROADCAST_SOURCES = 20_000
-SALTS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -77,15 +74,8 @@ def mixing_plan(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs
 
 
 def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """rows with their source's plan. The plan is broadcast only if it is small; else each
-    source's rows are dealt over salts, so that a hot one does not land in one task."""
     plan = materialise(plan.withColumnRenamed("source", "plan_source"), "plan")
-    same = F.col("plan_source").eqNullSafe(F.col("source"))
-    if plan.count() <= BROADCAST_SOURCES:
-        return rows.join(F.broadcast(plan), same)
-    rows = rows.withColumn("plan_salt", F.pmod(F.xxhash64("draw"), F.lit(SALTS)).cast("int"))
-    plan = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.join(plan, same & (F.col("salt") == F.col("plan_salt")))
+    return join_small(rows, plan, "source", "plan_source")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:

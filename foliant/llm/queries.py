@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, suffix_dedup
+from . import line_dedup, mixing, packing, quality, simhash, suffix_dedup
 from .common import documents, ship
 
 
@@ -24,6 +24,11 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup_lines(documents(spark, sf_dir))
+    return found.select("doc_id", "n_lines", "n_removed", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
 @F.pandas_udf("long")
 def crc32_of(ids: pd.Series) -> pd.Series:
     return ids.map(zlib.crc32)
@@ -46,11 +51,18 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
+    "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL}
+ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}
