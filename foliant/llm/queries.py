@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, packing, quality, simhash, suffix_dedup
+from . import html_extract, line_dedup, mixing, packing, quality, simhash, suffix_dedup
 from .common import documents, ship
 
 
@@ -40,6 +40,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", crc32_of("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return found.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(documents(spark, sf_dir), width=4, radius=4)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -60,6 +65,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op5_html_main_text": op5_html_main_text,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
