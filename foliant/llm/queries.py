@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import html_extract, imatch, langid, line_dedup, mixing, packing, quality, simhash, suffix_dedup
-from .common import documents, ship
+from .common import documents
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,15 +26,9 @@ def op2_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_removed", "n_chars", F.sha2("text", 256).alias("text_sha256"))
 
 
-@F.pandas_udf("long")
-def crc32_of(ids: pd.Series) -> pd.Series:
-    return ids.map(zlib.crc32)
-
-
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ship(spark)
     packed = packing.pack(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
-    return packed.select("doc_id", "piece", "start", "length", crc32_of("ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

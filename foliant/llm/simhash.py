@@ -9,7 +9,6 @@ pairs: as many edges as members at most, with the same connected components.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -26,6 +25,11 @@ SEED = 42
 CHUNK = 1 << 16
 #: Buckets with more members than this are dealt to several tasks.
 HOT_BUCKET = 20_000
+#: Fingerprints to a key, on average, from which more blocks are used.
+CROWD, CROWD_WIDE = 8, 2048
+#: Differing bits at which the keep-one stage takes texts for near duplicates: shingle sets
+#: of Jaccard similarity 0.9 differ in 8 bits or fewer nearly always, and those of 0.7 hardly ever.
+STAGE_RADIUS = 8
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -80,13 +84,22 @@ def block_masks(blocks: int, radius: int) -> list[int]:
 
 
 def choose_blocks(n: int, radius: int) -> int:
-    """The fewest blocks whose keys tell about n fingerprints apart, eight to a key."""
-    wanted = math.log2(max(n, 2)) - 3
-    return next((b for b in range(radius + 1, 17) if 64 * (b - radius) / b >= wanted), 16)
+    """The fewest blocks with no more than CROWD of n fingerprints to a key, on average.
+
+    A radius over 4 takes many blocks, and so many more filings for each one added
+    that larger buckets cost less.
+    """
+    crowd = CROWD if radius <= 4 else CROWD_WIDE
+    return next((b for b in range(radius + 1, radius + 5) if n <= crowd * 2 ** (64 * (b - radius) // b)), radius + 4)
 
 
 def forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the graph that links fps at radius bits or fewer."""
+    if fps.size <= 256:  # most buckets hold no link; one look at all pairs tells
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+        if near.sum() == fps.size:
+            return []
+        fps = fps[near.sum(axis=1) > 1]
     edges, rest = [], fps
     while rest.size:
         queue, rest = [rest[0]], rest[1:]
@@ -181,3 +194,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = labelled.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, radius: int = STAGE_RADIUS) -> DataFrame:
+    """docs with one document of each group of near duplicates, that of the smallest doc_id, in docs' columns.
+
+    Of rows that share a doc_id one stays at most; rows without a doc_id stay only
+    if their group has no other, one of them. Texts without words are one group.
+    """
+    found = near_duplicates(docs, width, radius)
+    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id"])
