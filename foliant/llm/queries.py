@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, imatch, langid, line_dedup, mixing, packing, quality, simhash, suffix_dedup
+from . import html_extract, imatch, langid, license_scan, line_dedup, mixing, packing, quality, simhash, suffix_dedup
 from .common import documents
 
 
@@ -31,6 +31,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
 def op5_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_extract.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return found.withColumn("n_chars", F.char_length("text").cast("long"))
@@ -69,6 +73,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_license_scan": op4_license_scan,
     "op5_html_main_text": op5_html_main_text,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_language_id": op7_language_id,
