@@ -69,6 +69,20 @@ def minimizer_runs(data: np.ndarray, length: int = LENGTH, gram: int = GRAM) ->
     return h[edge[:-1]], edge[:-1], sizes
 
 
+def merged(d: np.ndarray, t: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of (doc_id, tie, place) with those that follow one another joined, as far as a place can hold."""
+    order = np.lexsort((p, t, d))
+    d, t, p = d[order], t[order], p[order]
+    s, n = p // (RUN_CAP + 1), p % (RUN_CAP + 1)
+    new = np.ones(len(d), dtype=bool)
+    new[1:] = (d[1:] != d[:-1]) | (t[1:] != t[:-1]) | (s[1:] != s[:-1] + n[:-1])
+    heads = np.flatnonzero(new)
+    piece = (s - s[heads][np.cumsum(new) - 1]) // (RUN_CAP // 2) if len(s) else s
+    new[1:] |= piece[1:] != piece[:-1]
+    heads = np.flatnonzero(new)
+    return d[heads], t[heads], s[heads] * (RUN_CAP + 1) + (np.add.reduceat(n, heads) if len(heads) else n)
+
+
 RUNS = "m long, h long, doc_id long, tie long, place long, whole boolean"
 
 
@@ -82,7 +96,12 @@ def _cut_documents(length: int):
         m, h, d, t, p = (x[order] for x in (m, h, d, t, p))
         again = np.zeros(len(m), dtype=bool)
         again[1:] = (m[1:] == m[:-1]) & (h[1:] == h[:-1])
-        return _batches(m, h, d, t, p, again)
+        first = ~again
+        yield from _batches(m[first], h[first], d[first], t[first], p[first], np.zeros(first.sum(), dtype=bool))
+        d, t, p = merged(d[again], t[again], p[again])
+        with np.errstate(over="ignore"):  # any key does for these; this one spreads them
+            m = (d + p) * _SCRAMBLE.astype(np.int64)
+        yield from _batches(m, np.zeros(len(m), np.int64), d, t, p, np.ones(len(m), dtype=bool))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0

@@ -1 +1,170 @@
-"""Queries."""
+"""Queries of document statistics and classification."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import detections as d
+from ..operators import documents as dc
+from ..operators import lines as ln
+from ..sources import fixtures as fx
+from .q_boxes import CW, DETS, IOU, ON, A_STAR
+from .q_windows import LINES, PARAS
+from .registry import query
+
+STATS = f"""{LINES}, stats AS (SELECT doc_id, page_idx, sum(length(text))::BIGINT AS text_len, count(*) AS n_lines, count(*) FILTER (x1 - x0 < y1 - y0) AS n_vert, count(*) FILTER (NOT x1 - x0 < y1 - y0) AS n_horz,
+    sum(len(regexp_extract_all(text, '\\(cid:\\d+\\)')))::BIGINT AS n_garbled FROM lines GROUP BY ALL)"""
+BOTH = STATS + ", " + fx.detections_sql() + ", " + fx.IMAGES_SQL
+STYLED = f"{LINES}, styled AS (SELECT *, 'f' || CAST(x0 % 5 AS INT) AS font, CAST(8 + length(text) % 5 AS DOUBLE) AS size FROM lines)"
+
+
+def styled_lines(spark, sf_dir):
+    l = fx.lines(spark, sf_dir)
+    return l.withColumn("font", F.concat(F.lit("f"), (F.col("x0") % 5).cast("int").cast("string"))).withColumn("size", (8 + F.char_length("text") % 5).cast("double"))
+
+
+@query("page_stats", STATS + " SELECT * FROM stats")
+def page_stats(spark, sf_dir):
+    return dc.page_stats(fx.lines(spark, sf_dir))
+
+
+@query("classify_documents", f"""{BOTH}, doc AS (SELECT doc_id, count(*) AS pages, bool_or(text_len > 100) AS by_text_len, round_even(avg(text_len), 0) > 100 AS by_mean_text, sum(n_vert) AS vert, sum(n_horz) AS horz,
+        sum(n_garbled) / greatest(sum(text_len), 1) <= 0.05 AS by_characters FROM stats GROUP BY doc_id),
+    uses AS (SELECT doc_id, objid FROM images GROUP BY ALL HAVING count(*) < 2),
+    large AS (SELECT doc_id, count(*) AS large FROM (SELECT doc_id, page_idx, max((x1 - x0) * (y1 - y0)) / (612.0 * 792.0) AS ratio FROM images SEMI JOIN uses USING (doc_id, objid) GROUP BY ALL) WHERE page_idx < 50 AND ratio > 0.5 GROUP BY doc_id),
+    pp AS (SELECT doc_id, page_idx, count(*) AS n FROM images GROUP BY ALL),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, page_idx) AS k, count(*) OVER (PARTITION BY doc_id) AS t FROM pp),
+    cnt AS (SELECT doc_id, count(*) AS with_images, max(n) AS most FROM pp GROUP BY doc_id),
+    top AS (SELECT doc_id, min(n) = max(n) AS equal FROM rk WHERE k <= floor(t * 0.8) GROUP BY doc_id),
+    st AS (SELECT doc_id, count(*) AS strip_pages FROM (SELECT doc_id, page_idx, count(*) FILTER ((x1 - x0 >= 61.2 AND (y1 - y0) * 4 <= x1 - x0) OR (y1 - y0 >= 79.2 AND (x1 - x0) * 4 <= y1 - y0)) AS s, count(*) AS n FROM images GROUP BY ALL) WHERE s >= 5 AND s >= 0.8 * n GROUP BY doc_id),
+    r AS (SELECT doc_id, pages, coalesce(large, 0) < 0.5 * least(pages, 50) AS by_image_area, by_text_len, by_mean_text,
+        NOT (coalesce(with_images, 0) <= 1 AND coalesce(equal, true) AND coalesce(most, 0) >= 10) AS by_image_count,
+        vert + horz > 0 AND vert < 0.5 * (vert + horz) AS by_direction, coalesce(strip_pages, 0) < 0.5 * pages AS by_strips, by_characters
+        FROM doc LEFT JOIN large USING (doc_id) LEFT JOIN cnt USING (doc_id) LEFT JOIN top USING (doc_id) LEFT JOIN st USING (doc_id)),
+    v AS (SELECT *, by_image_area AND by_text_len AND by_mean_text AND by_image_count AND by_direction AND by_strips AND by_characters AS all_of,
+        by_image_area OR by_text_len OR by_mean_text OR by_image_count OR by_direction OR by_strips OR by_characters AS any_of FROM r)
+    SELECT * EXCLUDE (all_of, any_of), CASE WHEN all_of THEN 'txt' ELSE 'ocr' END AS parse_type, any_of AND NOT all_of AS mixed FROM v""")
+def classify_documents(spark, sf_dir):
+    return dc.classify(dc.page_stats(fx.lines(spark, sf_dir)), fx.page_images(spark, sf_dir), fx.PAGE_W, fx.PAGE_H)
+
+
+@query("majority_language", """WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY ALL)
+    SELECT source, lang, n FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first) AS k FROM c) WHERE k = 1""")
+def majority_language(spark, sf_dir):
+    return dc.first_mode(fx.read(spark, sf_dir, "documents"), "source", "lang", "doc_id")
+
+
+@query("upper_median_size", f"{DETS} SELECT doc_id, list_sort(list(x1 - x0))[CAST(floor(count(*) / 2) AS INT) + 1] AS width, list_sort(list(y1 - y0))[CAST(floor(count(*) / 2) AS INT) + 1] AS height FROM dets GROUP BY doc_id")
+def upper_median_size(spark, sf_dir):
+    dets = fx.detections(spark, sf_dir)
+    return dets.groupBy("doc_id").agg(dc.upper_median(F.col("x1") - F.col("x0")).alias("width"), dc.upper_median(F.col("y1") - F.col("y0")).alias("height"))
+
+
+@query("junk_images", f"WITH {fx.detections_sql()}, {fx.IMAGES_SQL}, t AS (SELECT doc_id, count(DISTINCT page_idx) AS pages FROM dets GROUP BY doc_id), c AS (SELECT doc_id, objid, count(*) AS n FROM images GROUP BY ALL) SELECT doc_id, objid, n FROM c JOIN t USING (doc_id) WHERE n >= greatest(pages * 0.5, 3)")
+def junk_images(spark, sf_dir):
+    pages = fx.detections(spark, sf_dir).select("doc_id", "page_idx").distinct()
+    return dc.junk_objects(fx.page_images(spark, sf_dir), pages, least=3)
+
+
+@query("image_area_by_page", f"WITH {fx.detections_sql()}, {fx.IMAGES_SQL} SELECT doc_id, page_idx, round(max((x1 - x0) * (y1 - y0)) / 484704, 6) AS ratio, count(*) AS n_images FROM images GROUP BY ALL")
+def image_area_by_page(spark, sf_dir):
+    return dc.image_area(fx.page_images(spark, sf_dir), fx.PAGE_W * fx.PAGE_H).withColumn("ratio", F.round("ratio", 6))
+
+
+@query("top_share_of_pages", STATS + """, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY text_len DESC, page_idx)::INT AS rank, count(*) OVER (PARTITION BY doc_id) AS t FROM stats)
+    SELECT * EXCLUDE (t) FROM k WHERE rank <= floor(t * 0.8)""")
+def top_share_of_pages(spark, sf_dir):
+    return dc.top_share(dc.page_stats(fx.lines(spark, sf_dir)), ["doc_id"], [F.col("text_len").desc(), F.col("page_idx")], 0.8)
+
+
+@query("frequent_header_boxes", f"""{LINES}, b AS (SELECT *, CASE WHEN y1 <= 100 THEN 'header' WHEN y0 >= 300 THEN 'footer' END AS band FROM lines),
+    c AS (SELECT doc_id, band, x0, y0, x1, y1, count(*) AS n FROM b WHERE band IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, band ORDER BY n DESC, y0, x0, x1, y1)::INT AS rank FROM c) WHERE rank <= 3""")
+def frequent_header_boxes(spark, sf_dir):
+    return dc.frequent_boxes(fx.lines(spark, sf_dir), 400.0)
+
+
+@query("header_flags", f"""{LINES}, b AS (SELECT *, CASE WHEN y1 <= 100 THEN 'header' WHEN y0 >= 300 THEN 'footer' END AS band FROM lines),
+    c AS (SELECT doc_id, band, x0, y0, x1, y1, count(*) AS n FROM b WHERE band IS NOT NULL GROUP BY ALL HAVING count(*) >= 2),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, band ORDER BY n DESC, y0, x0, x1, y1) AS rank FROM c) WHERE rank <= 3)
+    SELECT l.doc_id, l.line_no, min(f.band) AS flag FROM lines l LEFT JOIN f ON l.doc_id = f.doc_id AND abs(l.x0 - f.x0) < 1 AND abs(l.y0 - f.y0) < 1 AND abs(l.x1 - f.x1) < 1 AND abs(l.y1 - f.y1) < 1 GROUP BY ALL""")
+def header_flags(spark, sf_dir):
+    l = fx.lines(spark, sf_dir)
+    return dc.flagged(l, dc.frequent_boxes(l, 400.0)).select("doc_id", "line_no", "flag")
+
+
+@query("position_groups", f"""{LINES}, b AS (SELECT doc_id, page_idx, line_no AS ord, x0, y0, x1, y1 FROM lines)
+    SELECT a.doc_id, a.page_idx, a.ord, count(DISTINCT b.page_idx) AS n FROM b a JOIN b b ON a.doc_id = b.doc_id AND a.page_idx <> b.page_idx AND coalesce({IOU}, 0) >= 0.9 GROUP BY ALL HAVING count(DISTINCT b.page_idx) >= 3""")
+def position_groups(spark, sf_dir):
+    return dc.position_groups(fx.lines(spark, sf_dir).withColumnRenamed("line_no", "ord").select("doc_id", "page_idx", "ord", "x0", "y0", "x1", "y1"))
+
+
+@query("watermarks", f"""{LINES}, p AS (SELECT doc_id, count(DISTINCT page_idx) AS pages FROM lines GROUP BY doc_id), s AS (SELECT doc_id, x0, y0, substr(text, 1, 3) AS text, count(*) AS n FROM lines GROUP BY ALL)
+    SELECT doc_id, x0, y0, text, n FROM s JOIN p USING (doc_id) WHERE pages > 1 AND n > floor(pages / 2)""")
+def watermarks(spark, sf_dir):
+    l = fx.lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 3))
+    pages = l.select("doc_id", "page_idx").distinct()
+    many = pages.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    return dc.watermarks(l.join(many, "doc_id", "left_semi"), pages)
+
+
+@query("main_font", STYLED + """, c AS (SELECT doc_id, font, sum(length(text))::BIGINT AS chars FROM styled GROUP BY ALL)
+    SELECT doc_id, font, chars FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY chars DESC, font) AS k FROM c) WHERE k = 1""")
+def main_font(spark, sf_dir):
+    return dc.main_font(styled_lines(spark, sf_dir))
+
+
+@query("block_stats", STYLED + """ SELECT doc_id, page_idx, median(x0) AS x0_median, median(x1) AS x1_median,
+    round(CASE WHEN sum(length(regexp_replace(text, '\\s', '', 'g'))) = 0 THEN NULL ELSE sum(x1 - x0) / sum(length(regexp_replace(text, '\\s', '', 'g'))) END, 6) AS char_width,
+    first(font ORDER BY x1 - x0 DESC, line_no) AS widest_font FROM styled GROUP BY doc_id, page_idx""")
+def block_stats(spark, sf_dir):
+    return dc.block_stats(styled_lines(spark, sf_dir))
+
+
+@query("style_modes", STYLED + """, c AS (SELECT doc_id, font, size, count(*) AS n FROM styled GROUP BY ALL)
+    SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, font, size)::INT AS rank FROM c) WHERE rank <= 2""")
+def style_modes(spark, sf_dir):
+    return dc.style_modes(styled_lines(spark, sf_dir))
+
+
+@query("title_size_thresholds", STYLED + " SELECT doc_id, round(avg(size), 6) AS mean, round(stddev_pop(size), 6) AS spread, round(avg(size) + stddev_pop(size), 6) AS threshold FROM styled GROUP BY doc_id")
+def title_size_thresholds(spark, sf_dir):
+    return dc.title_sizes(styled_lines(spark, sf_dir))
+
+
+@query("style_grouping_sets", STYLED + " SELECT font, size, count(*) AS n, sum(length(text))::BIGINT AS chars FROM styled GROUP BY GROUPING SETS ((font, size), (font), (size))")
+def style_grouping_sets(spark, sf_dir):
+    return dc.style_cube(styled_lines(spark, sf_dir))
+
+
+@query("mostly_single_lines", PARAS + """, p AS (SELECT doc_id, page_idx, count(*) FILTER (n_lines = 1) / count(*) AS ratio FROM paras GROUP BY ALL)
+    SELECT doc_id, count(*) AS n_pages, count(*) FILTER (ratio > 0.9) AS single_pages FROM p GROUP BY doc_id HAVING count(*) FILTER (ratio > 0.9) > 0.1 * count(*)""")
+def mostly_single_lines(spark, sf_dir):
+    return dc.mostly_single_lines(ln.paragraphs(fx.lines(spark, sf_dir), 400.0))
+
+
+@query("layout_columns", f"{DETS}, r AS (SELECT doc_id, page_idx, CAST(floor(y0 / 100) AS BIGINT) AS row, count(*) AS leaves FROM dets WHERE category_id = 1 GROUP BY ALL) SELECT doc_id, page_idx, max(leaves) AS columns FROM r GROUP BY ALL")
+def layout_columns(spark, sf_dir):
+    dets = d.by_category(fx.detections(spark, sf_dir), 1)
+    return dc.column_count(dets.withColumn("row", F.floor(F.col("y0") / 100)))
+
+
+@query("footnote_regions", f"""{DETS}, m AS (SELECT a.doc_id, a.page_idx, a.ord, count(*) AS below FROM dets a JOIN dets b ON {ON} AND a.category_id = 7 AND b.category_id = 1 AND b.y0 >= a.y1 AND (a.x0 + a.x1) / 2 BETWEEN b.x0 AND b.x1 GROUP BY ALL)
+    SELECT doc_id, page_idx, ord, category_id, score, x0, y0, x1, y1, coalesce(below, 0) < 2 AS real FROM dets LEFT JOIN m USING (doc_id, page_idx, ord) WHERE category_id = 7""")
+def footnote_regions(spark, sf_dir):
+    dets = fx.detections(spark, sf_dir)
+    return dc.footnote_regions(d.by_category(dets, 1), d.by_category(dets, 7))
+
+
+@query("drop_reasons", """SELECT doc_id, doc_id % 50 = 7 AS needs_password, doc_id % 20 = 3 AS is_encrypted, CASE WHEN n_chars < 50 THEN 0 ELSE 1 + CAST(floor(n_chars / 1000) AS INT) END AS total_page,
+    CASE WHEN doc_id % 50 = 7 THEN 'needs_password' WHEN doc_id % 20 = 3 THEN 'encrypted' WHEN n_chars < 50 THEN 'empty' END AS drop_reason FROM documents""")
+def drop_reasons(spark, sf_dir):
+    docs = fx.read(spark, sf_dir, "documents")
+    meta = docs.select("doc_id", (F.col("doc_id") % 50 == 7).alias("needs_password"), (F.col("doc_id") % 20 == 3).alias("is_encrypted"), F.when(F.col("n_chars") < 50, 0).otherwise(1 + F.floor(F.col("n_chars") / 1000)).cast("int").alias("total_page"))
+    return dc.usable(meta)
+
+
+@query("merged_strips")
+def merged_strips(spark, sf_dir):
+    wide = fx.page_images(spark, sf_dir).withColumn("x0", F.lit(10.0) + F.col("ord") % 3).withColumn("x1", F.lit(600.0))
+    return dc.merge_strips(wide, fx.PAGE_W).select("doc_id", "page_idx", F.size("strips").alias("n"), F.to_json("strips").alias("strips"))
