@@ -1 +1,84 @@
-"""Queries."""
+"""Queries of the page kernels and of the whole page pipeline."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import assign, kernels
+from ..operators import detections as d
+from ..sources import fixtures as fx
+from . import parse
+from .q_boxes import DETS
+from .registry import query
+
+
+@query("spans_without_repeats")
+def spans_without_repeats(spark, sf_dir):
+    return kernels.drop_repeated_spans(fx.detections(spark, sf_dir, 60, 80))
+
+
+@query("blocks_apart")
+def blocks_apart(spark, sf_dir):
+    return kernels.drop_until_apart(d.by_category(fx.detections(spark, sf_dir), 0, 1))
+
+
+@query("separated_blocks")
+def separated_blocks(spark, sf_dir):
+    return kernels.separate(d.by_category(fx.detections(spark, sf_dir), 0, 1))
+
+
+@query("captions_of_images")
+def captions_of_images(spark, sf_dir):
+    dets = fx.detections(spark, sf_dir)
+    return kernels.assign_captions(assign.caption_candidates(d.by_category(dets, 3), d.by_category(dets, 4)))
+
+
+@query("captions_of_tables")
+def captions_of_tables(spark, sf_dir):
+    dets = fx.detections(spark, sf_dir)
+    tables = d.by_category(dets, 5)
+    captions = kernels.assign_captions(assign.caption_candidates(tables, d.by_category(dets, 6))).withColumnRenamed("object", "caption")
+    notes = kernels.assign_captions(assign.caption_candidates(tables, d.by_category(dets, 7))).withColumnRenamed("object", "footnote")
+    return tables.join(captions, [*d.PAGE, "ord"], "left").join(notes, [*d.PAGE, "ord"], "left").select(*d.PAGE, "ord", "caption", "footnote")
+
+
+@query("reading_order")
+def reading_order(spark, sf_dir):
+    return kernels.reading_order(d.by_category(fx.detections(spark, sf_dir), 0, 1))
+
+
+@query("layout_parts")
+def layout_parts(spark, sf_dir):
+    return kernels.xy_cut(d.by_category(fx.detections(spark, sf_dir), 0, 1))
+
+
+@query("sorted_text_boxes")
+def sorted_text_boxes(spark, sf_dir):
+    return kernels.sort_text_boxes(d.by_category(fx.detections(spark, sf_dir), 15))
+
+
+@query("touching_images", f"""{DETS}, i AS (SELECT doc_id, page_idx, ord, x0, y0, x1, y1 FROM dets WHERE category_id = 3),
+    e AS (SELECT a.doc_id, a.page_idx, a.ord, b.ord AS other FROM i a JOIN i b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1),
+    r AS (WITH RECURSIVE t AS (SELECT doc_id, page_idx, ord, ord AS seen FROM i UNION SELECT t.doc_id, t.page_idx, t.ord, e.other FROM t JOIN e ON t.doc_id = e.doc_id AND t.page_idx = e.page_idx AND t.seen = e.ord) SELECT * FROM t)
+    SELECT doc_id, page_idx, ord, min(seen) AS grp FROM r GROUP BY ALL""")
+def touching_images(spark, sf_dir):
+    return kernels.touching_groups(d.by_category(fx.detections(spark, sf_dir), 3))
+
+
+@query("parsed_blocks")
+def parsed_blocks(spark, sf_dir):
+    return parse.parse_pages(fx.detections(spark, sf_dir), fx.PAGE_W, fx.PAGE_H)
+
+
+@query("page_status")
+def page_status(spark, sf_dir):
+    return parse.page_status(parse.parse_pages(fx.detections(spark, sf_dir), fx.PAGE_W, fx.PAGE_H))
+
+
+@query("sessions", """WITH g AS (SELECT user_id, ts, value, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+    SELECT user_id, min(ts) AS first_ts, count(*) AS n, round(sum(value), 4) AS value FROM s GROUP BY user_id, k""")
+def sessions(spark, sf_dir):
+    ev = fx.read(spark, sf_dir, "events")
+    s = ev.groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.min("ts").alias("first_ts"), F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
+    return s.drop("session_window")
