@@ -8,6 +8,7 @@ over the words, with a penalty for each switch, labels spans.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -27,7 +28,7 @@ WORDS = 50_000
 #: What a switch of language costs, in units of log-probability.
 SWITCH = 12.0
 #: Words whose scores a worker remembers.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: The most that one word may speak for a language over another.
 CLIP = 8.0
 
@@ -51,6 +52,10 @@ SCRIPTS = (
 )
 
 
+#: Runs of letters, and of what counts as part of a word but is no digit.
+_WORD = re.compile(r"[^\W\d_]+")
+
+
 @cache
 def script_of(c: str) -> str | None:
     """Script of a letter; None for other characters."""
@@ -83,9 +88,10 @@ class Model:
                 totals[i] += k
                 for g in self.grams(word):
                     grams.setdefault(g, np.zeros(n))[i] += k
-        gram_totals = np.array([sum(v[i] for v in grams.values()) for i in range(n)]) if grams else np.zeros(n)
-        self.gram_scores = {g: np.log((v + 0.5) / (gram_totals + 0.5 * len(grams))) for g, v in grams.items()}
-        self.no_gram = np.log(0.5 / (gram_totals + 0.5 * max(1, len(grams))))
+        # row 0 of the scores is that of a trigram never met
+        met = np.array([np.zeros(n), *grams.values()])
+        self.gram_ids = {g: i for i, g in enumerate(grams, 1)}
+        self.gram_scores = np.log((met + 0.5) / (met.sum(axis=0) + 0.5 * max(1, len(grams))))
         self.word_scores = {w: np.log((v + 0.1) / (totals + 0.1 * len(words))) for w, v in words.items() if v.sum() >= 2}
         script_words: dict[str, np.ndarray] = {}
         for w, v in words.items():
@@ -95,6 +101,7 @@ class Model:
                 script_words[s] += v
         for s, v in script_words.items():
             self.scripts[s] = {i for i in range(n) if v[i] > 0.01 * totals[i] or v[i] == v.max()}
+        self.narrow = any(len(v) < n for v in self.scripts.values())
         self.known: dict[str, int] = {}
         self._clear()
 
@@ -106,37 +113,48 @@ class Model:
     def _clear(self) -> None:
         """Number 0 is a word without letters; it speaks for nothing."""
         self.known.clear()
-        self.table, self.weights = [np.zeros(len(self.langs))], [0]
-
-    def _score(self, letters: str) -> np.ndarray:
-        scores = self.word_scores.get(letters)
-        if scores is None:
-            scores = sum((self.gram_scores.get(g, self.no_gram) for g in self.grams(letters)), np.zeros(len(self.langs)))
-        allowed = set().union(*(self.scripts.get(s, set()) for s in {script_of(c) for c in letters}))
-        scores = np.clip(scores - scores.max(), -CLIP, 0)
-        if allowed and len(allowed) < len(self.langs):
-            scores = np.where([i in allowed for i in range(len(self.langs))], scores, -CLIP)
+        self.table, self.weights = np.zeros((1, len(self.langs)), np.float32), np.zeros(1, np.int64)
+
+    def _scores(self, letters: list[str]) -> np.ndarray:
+        """Scores of words of letters: their own, or the sum of their trigrams'; the best language's is 0."""
+        split = [self.grams(w) for w in letters]
+        ids = np.fromiter((self.gram_ids.get(g, 0) for grams in split for g in grams), np.int64, sum(map(len, split)))
+        starts = np.concatenate(([0], np.cumsum([len(x) for x in split])[:-1]))
+        scores = np.add.reduceat(self.gram_scores[ids], starts, axis=0)
+        for i, w in enumerate(letters):
+            own = self.word_scores.get(w)
+            if own is not None:
+                scores[i] = own
+        scores = np.clip(scores - scores.max(axis=1, keepdims=True), -CLIP, 0)
+        if self.narrow:
+            for i, w in enumerate(letters):
+                allowed = set().union(*(self.scripts.get(s, set()) for s in {script_of(c) for c in w}))
+                if allowed:
+                    scores[i, [k for k in range(len(self.langs)) if k not in allowed]] = -CLIP
         return scores
 
     def learn(self, words: set[str]) -> None:
+        """Number the words not yet known, and add their scores to the table."""
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > CACHE_WORDS:
             self._clear()
             new = list(words)
-        for w in new:
-            letters = letters_only(w)
-            if letters:
-                self.known[w] = len(self.table)
-                self.table.append(self._score(letters))
-                self.weights.append(len(letters))
-            else:
-                self.known[w] = 0
+        letters = [letters_only(w) for w in new]
+        some = [(w, x) for w, x in zip(new, letters) if x]
+        self.known.update((w, 0) for w, x in zip(new, letters) if not x)
+        if some and self.langs:
+            n = len(self.table)
+            self.known.update((w, n + i) for i, (w, _) in enumerate(some))
+            self.table = np.concatenate((self.table, self._scores([x for _, x in some]).astype(np.float32)))
+            self.weights = np.concatenate((self.weights, [len(x) for _, x in some]))
+        elif some:
+            self.known.update((w, 0) for w, _ in some)
 
     def label(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
         """For each text its words, the most likely language of each by number, and each word's letters."""
-        split = [t.split() for t in texts]
+        split = [_WORD.findall(t.lower()) for t in texts]
         self.learn(set().union(*split))
-        table, weights = np.array(self.table), np.array(self.weights)
+        table, weights = self.table, self.weights
         for words in split:
             ids = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
             yield words, best_path(table[ids]), weights[ids]
@@ -201,7 +219,7 @@ def identify(docs: DataFrame, model: Model, undetermined: str = "und") -> DataFr
     """docs' columns but text, with lang_pred, score and spans of each whole text.
 
     lang_pred is the language of most letters, score its share of them. spans are
-    the runs of words of one language: start and end count words. A text that is
+    the runs of words of one language: start and end count words, which are runs of letters. A text that is
     null or has no letter is `undetermined` with score 0 and no spans, and so is any
     other if the model knows no language. Columns of docs with these names are
     replaced. Each row is worked on alone, so there is no shuffle.
@@ -217,8 +235,8 @@ def identify(docs: DataFrame, model: Model, undetermined: str = "und") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 2048):
+                part = batch.slice(at, 2048)
                 preds, scores, spans = [], [], []
                 for words, path, weights in own.label([t or "" for t in part.column(len(names)).to_pylist()]):
                     total = int(weights.sum())
