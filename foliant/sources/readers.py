@@ -17,9 +17,10 @@ def binary_files(spark: SparkSession, path: str, pattern: str = "*", recursive:
 
 
 def text_files(spark: SparkSession, path: str, charset: str = "UTF-8", pattern: str = "*.md") -> DataFrame:
-    """(path, text, error): whole texts; an empty file has an error instead."""
+    """(path, text, error): whole texts; one of white space has an error. Spark lists no files without bytes."""
     files = binary_files(spark, path, pattern)
-    return files.select("path", F.decode("content", charset).alias("text"), F.when(F.col("length") == 0, "empty file").alias("error"))
+    files = files.select("path", F.decode("content", charset).alias("text"))
+    return files.withColumn("error", F.when(~F.col("text").rlike(r"\S"), "no text"))
 
 
 def byte_range(content: Column, offset: int, length: int | None = None) -> Column:

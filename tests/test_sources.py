@@ -13,10 +13,10 @@ from foliant.streaming import ingest
 
 def test_files_and_ranges(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"hello world")
-    (tmp_path / "b.md").write_text("")
+    (tmp_path / "b.md").write_text(" \n")
     row = readers.binary_files(spark, str(tmp_path), "*.pdf").select("*", readers.byte_range(F.col("content"), 6, 3).alias("part")).first()
     assert row["length"] == 11 and bytes(row["part"]) == b"wor" and row["md5"] == "5EB63BBBE01EEED093CB22BB8F5ACDC3"
-    assert readers.text_files(spark, str(tmp_path)).first()["error"] == "empty file"
+    assert readers.text_files(spark, str(tmp_path)).first()["error"] == "no text"
 
 
 def test_records_and_detections(spark, tmp_path):
