@@ -43,10 +43,17 @@ class WordEncoder:
         if len(self.known) + len(new) > CACHE_WORDS:
             self.known = {"": b""}
             new = list(words)
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
+        # a stop or comma after what is a letter or digit in lower case too is a token of its own
+        ended = [w for w in new if w[-1:] in (".", ",") and w[-2:-1].lower().isalnum()]
+        own = set(new).difference(ended)
+        own.update(x for w in ended for x in (w[:-1], w[-1]))
+        own = [w for w in own if w not in self.known]
+        for i in range(0, len(own), 10_000):
+            part = own[i : i + 10_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        for w in ended:
+            self.known[w] = self.known[w[:-1]] + self.known[w[-1]]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
