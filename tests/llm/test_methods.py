@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import components, html_extract, imatch, langid, license_scan, mixing, packing, quality, simhash, suffix_dedup
+from foliant.llm import components, html_extract, imatch, langid, license_scan, line_dedup, mixing, packing, quality, simhash, suffix_dedup
 from foliant.llm.queries import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
@@ -166,3 +166,60 @@ def test_pages():
     <article><h1>Head &amp; line</h1><p>First  <b>bold</b>\nwords<br>here.<p>Second.<form>Name <input></form><aside>See also this</aside></article>
     <section id="comments"><p>I liked this article very much and will read it again tomorrow</p></section><footer>&copy; us</footer>"""
     assert html_extract.main_text(page) == "Head & line\n\nFirst bold words here.\n\nSecond."
+
+
+def line_links(found, radius, similarity):
+    """Links of lines by brute force: near prints, and few words edited."""
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    links = []
+    for i, (a, wa, pa) in enumerate(found):
+        for b, wb, pb in found[:i]:
+            if ((pa ^ pb) & (2**64 - 1)).bit_count() <= radius and edits(wa, wb) <= max(len(wa), len(wb)) * (1 - similarity) + 1e-9:
+                links.append((a, b))
+    return links
+
+
+@pytest.mark.parametrize(("crowded", "centres"), [(64, 4), (3, 1)])
+def test_lines_lose_no_link(spark, monkeypatch, crowded, centres):
+    """Whatever counts as a crowded key, the lines that stay are those of brute force over all pairs."""
+    monkeypatch.setattr(line_dedup, "CROWDED", crowded)
+    monkeypatch.setattr(line_dedup, "CENTRES", centres)
+    rng = random.Random(11)
+    vocabulary = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    lines = []
+    for _ in range(6):
+        base = rng.choices(vocabulary, k=rng.choice([12, 40, 300]))
+        for _ in range(12):
+            words = list(base)
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            lines.append(words)
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, "\n".join(" ".join(w) for w in lines[3 * i : 3 * i + 3])) for i in range(len(lines) // 3)], "doc_id long, text string")
+    prints = {(r["doc_id"], r["line_no"]): r["print"] for r in line_dedup.lines_of(docs).collect()}
+    direct = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    for r in direct.select("doc_id", "line_no", line_dedup.simhash_of(line_dedup.line_words(F.col("line"))).alias("p")).collect():
+        assert prints[r["doc_id"], r["line_no"]] == r["p"]
+    found = [((i // 3, i % 3), w, prints[i // 3, i % 3]) for i, w in enumerate(lines)]
+    root = {x: x for x, _, _ in found}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in line_links(found, 10, 0.8):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = line_dedup.dedup_lines(docs, radius=10).collect()
+    want = {i: [" ".join(w) for (d, n), w, _ in found if d == i and find((d, n)) == (d, n)] for i in range(len(lines) // 3)}
+    assert sum(map(len, want.values())) < len(lines)
+    assert {r["doc_id"]: r["text"].split("\n") if r["text"] else [] for r in got} == want
