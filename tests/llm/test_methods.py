@@ -187,7 +187,7 @@ def line_links(found, radius, similarity):
     return links
 
 
-@pytest.mark.parametrize(("crowded", "centres"), [(64, 4), (3, 1)])
+@pytest.mark.parametrize(("crowded", "centres"), [(256, 4), (3, 1)])
 def test_lines_lose_no_link(spark, monkeypatch, crowded, centres):
     """Whatever counts as a crowded key, the lines that stay are those of brute force over all pairs."""
     monkeypatch.setattr(line_dedup, "CROWDED", crowded)
