@@ -223,3 +223,33 @@ def test_lines_lose_no_link(spark, monkeypatch, crowded, centres):
     want = {i: [" ".join(w) for (d, n), w, _ in found if d == i and find((d, n)) == (d, n)] for i in range(len(lines) // 3)}
     assert sum(map(len, want.values())) < len(lines)
     assert {r["doc_id"]: r["text"].split("\n") if r["text"] else [] for r in got} == want
+
+
+def test_lines_of_similarity_are_found(spark):
+    """By the defaults, lines link as brute force links them by edit similarity alone, whatever their length."""
+    rng = random.Random(17)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.choice([1, 2, 3, 7]))) for _ in range(300)]
+    lines = []
+    for n in (4, 5, 6, 9, 10, 11, 14, 15, 19, 20, 24, 36, 60, 120, 300):
+        for _ in range(3):
+            base = rng.choices(vocabulary, k=n)
+            for edits in (0, n // 5, n // 5, n // 5 + 1):
+                words = list(base)
+                for _ in range(edits):
+                    i = rng.randrange(len(words))
+                    words[i : i + 1] = rng.choice([[], rng.choices(vocabulary, k=1), [words[i], *rng.choices(vocabulary, k=1)]])
+                lines.append(words)
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(lines)], "doc_id long, text string")
+    root = {i: i for i in range(len(lines))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in line_links([(i, w, 0) for i, w in enumerate(lines)], 64, 0.8):
+        x, y = sorted((find(a), find(b)))
+        root[y] = x
+    got = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]}
+    assert got == {i for i in root if find(i) == i}
