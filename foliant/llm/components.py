@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
@@ -59,3 +61,41 @@ def _small_star(edges: DataFrame) -> DataFrame:
     ups = joined.select(F.col("b").alias("a"), F.col("m").alias("b"))
     own = least.select("a", F.col("m").alias("b"))
     return ups.unionByName(own).where("a <> b").distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    """(a, b) of pairs of nodes (x, y), the smaller id first."""
+    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+
+def linked_groups(filed: DataFrame, near: Column, similar: Callable[[DataFrame], DataFrame], crowded: int, centres: int) -> DataFrame:
+    """(node, root): the components of all links between nodes x that share a key, of filed (key, x, c), c being the key's nodes.
+
+    Nodes x and y, structs with an id, are linked if they are near, which is cheap to
+    tell, and similar, which gets pairs (a, b) of ids and gives those that are. Nodes
+    under a key with no more than `crowded` of them are compared in pairs. Under
+    other keys all nodes are first compared with a few centres; components are
+    formed of these links, and then only nodes of different components are compared,
+    and no two of the largest component. A pair left out has its two ends in one
+    component already, so components are those of all links, and near copies of one
+    text cost comparisons in proportion to their number.
+    """
+    some, many = filed.where(F.col("c") <= crowded).drop("c"), filed.where(F.col("c") > crowded).drop("c")
+    pairs = _ordered(some.join(some.withColumnRenamed("x", "y"), "key").where((F.col("x.id") < F.col("y.id")) & near))
+    chosen = [F.min_by("x", F.xxhash64(F.lit(s), "x.id")) for s in range(centres)]
+    middle = many.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("ys")).select("key", F.explode("ys").alias("y"))
+    to_centres = _ordered(many.join(middle, "key").where((F.col("x.id") != F.col("y.id")) & near))
+    pairs = materialise(pairs.unionByName(to_centres).distinct(), "pairs")
+    groups = connected_components(similar(pairs))
+    placed = many.join(groups, F.col("x.id") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.id").alias("root"))
+    placed = materialise(placed, "placed")
+    largest = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("main"))
+    rest = placed.join(largest, "key").where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("other"))
+    across = _ordered(placed.join(rest, "key").where((F.col("root") != F.col("other")) & near))
+    across = materialise(across.distinct(), "across")
+    if across.isEmpty():
+        return groups
+    more = materialise(similar(across), "more")
+    if more.isEmpty():
+        return groups
+    return connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))

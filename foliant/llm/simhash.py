@@ -5,20 +5,24 @@ bits agree on at least `blocks - radius` of their blocks, so each is filed once
 for each choice of that many blocks and only fingerprints filed together are
 compared. What a bucket yields is a spanning forest of its links instead of all
 pairs: as many edges as members at most, with the same connected components.
+
+The keep-one stage links by the similarity of shingle sets itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
-from .components import connected_components
+from .components import connected_components, linked_groups
 
 SEED = 42
 #: Shingles counted at a time, to bound memory for very long texts.
@@ -27,9 +31,14 @@ CHUNK = 1 << 16
 HOT_BUCKET = 20_000
 #: Fingerprints to a key, on average, from which more blocks are used.
 CROWD, CROWD_WIDE = 8, 2048
-#: Differing bits at which the keep-one stage takes texts for near duplicates: shingle sets
-#: of Jaccard similarity 0.9 differ in 8 bits or fewer nearly always, and those of 0.7 hardly ever.
-STAGE_RADIUS = 8
+#: Jaccard similarity of shingle sets from which the keep-one stage takes texts for near duplicates.
+SIMILARITY = 0.8
+#: Texts under a shingle beyond which they are first compared with centres, of which each shingle has so many.
+CROWDED, CENTRES = 256, 4
+#: LONGs of 64 bits that hold the parity of a text's shingles.
+PARITIES = 24
+#: Texts up to which a list of them is broadcast.
+BROADCAST_TEXTS = 500_000
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -196,12 +205,90 @@ def near_duplicates(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFra
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, width: int = 5, radius: int = STAGE_RADIUS) -> DataFrame:
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of text's word shingles, in order; words and shingles are those of fingerprint()."""
+    from xxhash import xxh64_digest
+
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        return np.frombuffer(xxh64_digest(joined, SEED) if words else b"", dtype=np.int64)
+    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-width]))
+    hashes = b"".join([xxh64_digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), (ends[width - 1 :] - 1).tolist())])
+    return np.unique(np.frombuffer(hashes, dtype=np.int64))
+
+
+def _sets(docs: DataFrame, width: int, similarity: float | None) -> DataFrame:
+    """(doc_id, id, n, keys, p0...): a hash of each row's shingle set, its size, its shingles, and their parities.
+
+    A shingle turns one bit of the parities. With a similarity, only the first shingles, of which sets that similar have one in common.
+    """
+    ship(docs.sparkSession)
+    parities = [f"p{i}" for i in range(PARITIES)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_digest
+
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):  # to bound memory
+                part = batch.slice(i, 256)
+                sets = [shingles(t.as_py(), width) for t in part.column(1)]
+                ids = np.frombuffer(b"".join(xxh64_digest(x.tobytes(), SEED) for x in sets), dtype=np.int64)
+                sizes = np.array([x.size for x in sets], dtype=np.int64)
+                odd = np.array([np.bincount(x % (PARITIES * 64), minlength=PARITIES * 64) & 1 for x in sets], dtype=np.uint8)
+                odd = np.packbits(odd, axis=1).view(np.int64)
+                if similarity is not None:  # all but so many shingles may be missing from the other
+                    sets = [x[: x.size - math.ceil(x.size * similarity - 1e-9) + 1] for x in sets]
+                ends = np.cumsum([0] + [x.size for x in sets])
+                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(sizes), keys, *[pa.array(x.copy()) for x in odd.T]], ["doc_id", "id", "n", "keys", *parities])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, id long, n long, keys array<long>, " + ", ".join(f"{p} long" for p in parities))
+
+
+def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): for each row the smallest doc_id linked to it.
+
+    Rows link when their shingle sets have a Jaccard similarity of `similarity` or
+    more, and links chain. All such pairs are found: of n shingles in the order of
+    their hashes, (1 - similarity) * n and one more must hold a common one. Shingles
+    of only one of two similar sets are (1 - similarity) / (1 + similarity) of both
+    sizes at most, and so are the bits in which their parities differ.
+    """
+    sized = ["n", *[f"p{i}" for i in range(PARITIES)]]
+    prints = materialise(_sets(docs, width, similarity), "sets")
+    classes = materialise(prints.groupBy("id").agg(F.min("doc_id").alias("first_id"), *[F.max(c).alias(c) for c in sized]), "classes")
+    filed = prints.dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
+    shared = filed.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
+    shared = shared.join(classes.select("id", F.struct("id", *sized).alias("x")), "id").select("key", "x", "c")
+    near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - 1e-9
+    odd = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITIES)])
+    near = near & (odd <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+
+    def similar(pairs):
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        wanted = materialise(classes.join(ids, "id", "left_semi").select("first_id", F.col("id").alias("of")), "wanted")
+        hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
+        texts = docs.join(hint, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
+        sets = materialise(_sets(texts, width, None).join(hint, F.col("id") == F.col("of"), "left_semi").dropDuplicates(["id"]), "shingles")
+        one, two = (sets.select(F.col("id").alias(x), F.col("keys").alias(f"k{x}")) for x in "ab")
+        both = F.size(F.array_intersect("ka", "kb"))
+        return pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("ka") + F.size("kb") - both) - 1e-9).select("a", "b")
+
+    roots = linked_groups(materialise(shared, "shared"), near, similar, CROWDED, CENTRES).withColumnRenamed("node", "id")
+    labelled = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return prints.select("doc_id", "id").join(labelled.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """docs with one document of each group of near duplicates, that of the smallest doc_id, in docs' columns.
 
     Of rows that share a doc_id one stays at most; rows without a doc_id stay only
     if their group has no other, one of them. Texts without words are one group.
     """
-    found = near_duplicates(docs, width, radius)
+    found = similar_documents(docs, width, similarity)
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
     return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id"])

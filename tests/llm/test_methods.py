@@ -253,3 +253,38 @@ def test_lines_of_similarity_are_found(spark):
         root[y] = x
     got = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]}
     assert got == {i for i in root if find(i) == i}
+
+
+@pytest.mark.parametrize(("crowded", "centres"), [(256, 4), (3, 1)])
+def test_keep_one_by_shingle_similarity(spark, monkeypatch, crowded, centres):
+    """The near-duplicate stage links all texts of similarity 0.8 or more, and no others."""
+    monkeypatch.setattr(simhash, "CROWDED", crowded)
+    monkeypatch.setattr(simhash, "CENTRES", centres)
+    rng = random.Random(23)
+    texts = []
+    for n in (3, 5, 6, 30, 60, 120, 400):
+        for _ in range(3):
+            base = [f"w{rng.randrange(500)}" for _ in range(n)]
+            for edits in (0, n // 60, n // 60, n // 40, n // 25):
+                words = list(base)
+                for _ in range(edits):
+                    words[rng.randrange(n)] = f"w{rng.randrange(500)}"
+                texts.append(words)
+    rng.shuffle(texts)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    root = {i: i for i in range(len(texts))}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    alike = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in root for b in range(a)]
+    assert sum(0.8 <= s < 0.85 for s in alike) > 3 and sum(0.7 <= s < 0.8 for s in alike) > 3
+    for a in root:
+        for b in range(a):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {i for i in root if find(i) == i}
