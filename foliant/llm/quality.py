@@ -12,6 +12,8 @@ stratum loses more than RISK of its good documents to the rules together.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ from .common import join_small, let, materialise, text_words
 
 RISK = 0.03
 ERROR = 0.05
-#: Labelled good documents taken from a stratum, at most about so many; a hash of doc_id chooses.
-LABELLED = 200_000
+#: Successes up to which all terms of a binomial tail are added, from the first one on.
+ALL_TERMS = 1000
 
 #: Scores are whole numbers; a rule's cutoffs in the order from strict to mild.
 RULES: dict[str, tuple[int, ...]] = {
@@ -83,25 +85,44 @@ def _scores() -> list[Column]:
     return [score(rule, *cols) for rule in RULES]
 
 
+def _log_mass(n: Column, k: Column, p: float) -> Column:
+    """Logarithm of the probability of k successes in n tries, for large k and n - k, by Stirling's series in a form without cancellation."""
+
+    def rest(x):
+        return 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+    def deviance(x, mean):
+        return x * F.log1p((x - mean) / mean) + mean - x
+
+    n, k = n.cast("double"), k.cast("double")
+    spread = F.log(n / (2 * math.pi * k * (n - k))) / 2
+    return spread + rest(n) - rest(k) - rest(n - k) - deviance(k, n * p) - deviance(n - k, n * (1 - p))
+
+
 def log_tail(n: Column, k: Column, p: float) -> Column:
-    """Logarithm of the probability of k successes or fewer in n tries at p each.
+    """Logarithm of the probability of k successes or fewer in n tries at p each; k is below n * p if over ALL_TERMS.
 
     Terms follow from one another, and are added as logarithms, so that nothing
-    underflows; their number is k, at most p * LABELLED where it is asked for.
+    underflows. Up to ALL_TERMS they start from 0 successes; beyond, they go down
+    from k, and 10 * sqrt(k) of them are added: the term t below that of k is at most
+    exp(-t * (t - 1) / 2k) of it, so the rest is below the precision of a DOUBLE.
     """
     odds = F.log(F.lit(p / (1 - p)))
-    first = n * F.log(F.lit(1 - p))
 
-    def step(acc, i):
-        term = acc["term"] + F.log((n - i) / (i + 1)) + odds
+    def add(acc, term):
         top = F.greatest(acc["total"], term)
         return F.struct(term.alias("term"), (top + F.log1p(F.exp(-F.abs(acc["total"] - term)))).alias("total"))
 
+    def tail(first, terms, ratio):
+        return F.aggregate(terms, F.struct(first.alias("term"), first.alias("total")), lambda acc, i: add(acc, acc["term"] + ratio(i)), lambda acc: acc["total"])
+
     terms = F.when(k > 0, F.sequence(F.lit(0).cast("long"), k - 1)).otherwise(F.array().cast("array<bigint>"))
-    return F.aggregate(terms, F.struct(first.alias("term"), first.alias("total")), step, lambda acc: acc["total"])
+    up = tail(n * F.log(F.lit(1 - p)), terms, lambda i: F.log((n - i) / (i + 1)) + odds)
+    down = tail(_log_mass(n, k, p), F.sequence(F.lit(0).cast("long"), F.least(k - 1, F.ceil(10 * F.sqrt(k)))), lambda t: F.log((k - t) / (n - k + t + 1)) - odds)
+    return F.when(k <= ALL_TERMS, up).otherwise(down)
 
 
-def safe_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR, labelled: int = LABELLED) -> DataFrame:
+def safe_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, error: float = ERROR) -> DataFrame:
     """(stratum, cutoffs): a map from rule to its strictest safe cutoff, for strata that have any.
 
     counted is from features(); a stratum is a lang, and null is one too. A document
@@ -110,10 +131,7 @@ def safe_cutoffs(counted: DataFrame, labels: DataFrame, risk: float = RISK, erro
     """
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
     held = counted.where(~F.col("base_failed")).join(good, "doc_id", "left_semi").withColumnRenamed("lang", "stratum")
-    rows = materialise(held.select("stratum", F.xxhash64("doc_id").alias("draw"), *[s.alias(f"s{i}") for i, s in enumerate(_scores())]), "holdout")
-    share = rows.groupBy(F.col("stratum").alias("of")).agg(F.least(F.lit(1.0), F.lit(labelled) / F.count(F.lit(1))).alias("share"))
-    rows = join_small(rows, share, "stratum", "of")
-    rows = rows.where((F.col("share") >= 1) | (F.pmod("draw", F.lit(1_000_000)) < F.col("share") * 1_000_000))
+    rows = held.select("stratum", *[s.alias(f"s{i}") for i, s in enumerate(_scores())])
     grids = F.array(*[F.array(*[F.lit(c).cast("long") for c in grid]) for grid in RULES.values()])
     scored = rows.select("stratum", F.posexplode(F.array(*[f"s{i}" for i in range(len(RULES))])).alias("rule", "score"))
     above = F.size(F.filter(F.get(grids, F.col("rule")), lambda c: c < F.col("score")))

@@ -288,3 +288,34 @@ def test_keep_one_by_shingle_similarity(spark, monkeypatch, crowded, centres):
                 root[y] = x
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
     assert {r["doc_id"] for r in simhash.keep_one(docs).collect()} == {i for i in root if find(i) == i}
+
+
+def test_binomial_tail_of_many(spark):
+    """The tail of a large holdout is exact in a bounded number of terms."""
+    cases = [(200_000, 1001), (300_000, 2100), (2_000_000, 14_900)]
+    df = spark.createDataFrame(cases, "n long, k long")
+    got = [r[0] for r in df.select(quality.log_tail(F.col("n"), F.col("k"), 0.0075)).collect()]
+
+    def mass(n, i):
+        return math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(0.0075) + (n - i) * math.log1p(-0.0075)
+
+    want = [mass(n, k) + math.log(math.fsum(math.exp(mass(n, i) - mass(n, k)) for i in range(k + 1))) for n, k in cases]
+    assert got == pytest.approx(want, rel=1e-7)
+
+
+def test_cutoffs_take_all_labelled(spark):
+    """A stratum of over 200,000 labelled good documents is judged by all of them, as its SQL judges it."""
+    n, p = 400_000, quality.RISK / len(quality.RULES)
+    limit = math.log(quality.ERROR / len(quality.RULES))
+    terms = [n * math.log1p(-p)]
+    for i in range(int(n * p)):
+        terms.append(terms[-1] + math.log((n - i) / (i + 1)) + math.log(p / (1 - p)))
+    total, most = -math.inf, -1
+    for i, t in enumerate(terms):
+        total = max(total, t) + math.log1p(math.exp(-abs(total - t))) if i else t
+        most = i if total <= limit else most
+    for k, cutoff in ((most, 10), (most + 1, 20)):  # just safe, and one too many
+        rows = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit(100).cast("long").alias("n_words"), F.lit(400).cast("long").alias("word_chars"),
+                                     F.when(F.col("id") < k, 2).otherwise(0).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(False).alias("base_failed"))
+        found = quality.safe_cutoffs(rows, rows.select("doc_id", F.lit(1).alias("quality"))).first()
+        assert found["cutoffs"][list(quality.RULES).index("symbols")] == cutoff
