@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.functions import geometry as g
-from foliant.operators import kernels
+from foliant.operators import documents, kernels
 
 CASES = [
     ((0, 0, 10, 10), (0, 0, 10, 10), True, True, 1, 1, 1, 0),
@@ -71,3 +71,11 @@ def test_text_boxes_left_to_right(spark):
 def test_no_pages(spark):
     none = boxes(spark, (1.0, (0, 0, 1, 1))).where(F.lit(False))
     assert kernels.xy_cut(none).count() == kernels.reading_order(none).count() == 0
+
+
+def test_position_groups_by_share_of_pages(spark):
+    """On 40 pages a box must be met on 10 others, not on 3; on 5 pages on 3."""
+    rows = [(1, p, 0, 0.0, 0.0, 10.0, 10.0) for p in range(5)] + [(1, 39, 1, 50.0, 50.0, 60.0, 60.0)] + [(2, p, 0, 0.0, 0.0, 10.0, 10.0) for p in range(4)]
+    rows += [(3, p, 0, 0.0, 0.0, 10.0, 10.0) for p in (*range(10), 39)]
+    docs = spark.createDataFrame(rows, "doc_id long, page_idx int, ord int, x0 double, y0 double, x1 double, y1 double")
+    assert sorted({r["doc_id"] for r in documents.position_groups(docs).collect()}) == [2, 3]
