@@ -1,4 +1,4 @@
-"""Connected components of a graph too large for one machine."""
+"""Connected components, and groups of nodes that share keys, of graphs too large for one machine."""
 
 from __future__ import annotations
 
@@ -63,35 +63,65 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return ups.unionByName(own).where("a <> b").distinct()
 
 
-def _ordered(pairs: DataFrame) -> DataFrame:
-    """(a, b) of pairs of nodes (x, y), the smaller id first."""
-    return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+#: Nodes under a key up to which all pairs are compared at once, up to which pairs of different components are, and the most keys in common asked for beyond.
+FEW, CROWDED, KEYS_IN_COMMON = 8, 64, 3
 
 
-def linked_groups(filed: DataFrame, near: Column, similar: Callable[[DataFrame], DataFrame], crowded: int, centres: int) -> DataFrame:
-    """(node, root): the components of all links between nodes x that share a key, of filed (key, x, c), c being the key's nodes.
+def _apart(placed: DataFrame) -> DataFrame:
+    """placed (key, x, root, ...) with c, the nodes of each key, where a key has nodes of different components."""
+    seen = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return placed.join(seen.where("low <> high").select("key", "c"), "key")
 
-    Nodes x and y, structs with an id, are linked if they are near, which is cheap to
-    tell, and similar, which gets pairs (a, b) of ids and gives those that are. Nodes
-    under a key with no more than `crowded` of them are compared in pairs. Under
-    other keys all nodes are first compared with a few centres; components are
-    formed of these links, and then only nodes of different components are compared,
-    and no two of the largest component. A pair left out has its two ends in one
-    component already, so components are those of all links, and near copies of one
-    text cost comparisons in proportion to their number.
+
+def _across(placed: DataFrame, near: Column) -> DataFrame:
+    """Pairs (a, b) of near nodes that share a key and are of different components."""
+    other = placed.select("key", F.col("x").alias("y"), F.col("root").alias("other"))
+    found = placed.join(other, "key").where((F.col("x.v") < F.col("y.v")) & (F.col("root") != F.col("other")) & near)
+    return found.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
+
+
+def linked_groups(filed: DataFrame, near: Column, similar: Callable[[DataFrame], DataFrame], few: int | None = None, crowded: int | None = None) -> DataFrame:
+    """(node, root): the components of links between nodes that share a key, for nodes that have a link.
+
+    filed has a row (key, v, ...) of LONGs for each key of each node v, and beside
+    them what `near` tells by, of structs x and y of a node's columns but the key.
+    Nodes are linked if they are near, which is cheap to tell, and similar, which
+    gets pairs (a, b) of nodes and gives those that are.
+
+    A key of up to `few` nodes has all its pairs compared; the nodes of another are
+    compared with its first and its last one. Near copies of one text are one
+    component by then, at a cost in proportion to their number. What is left are
+    pairs of different components: all are compared that share a key of up to
+    `crowded` nodes. Under a key of more, nodes are filed anew by that key together
+    with each other key of theirs that some node shares, and once more with a third.
+    So no pair is lost but those that have only crowded keys in common and fewer
+    than two of them; a key that says little is then no reason to compare all.
     """
-    some, many = filed.where(F.col("c") <= crowded).drop("c"), filed.where(F.col("c") > crowded).drop("c")
-    pairs = _ordered(some.join(some.withColumnRenamed("x", "y"), "key").where((F.col("x.id") < F.col("y.id")) & near))
-    chosen = [F.min_by("x", F.xxhash64(F.lit(s), "x.id")) for s in range(centres)]
-    middle = many.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("ys")).select("key", F.explode("ys").alias("y"))
-    to_centres = _ordered(many.join(middle, "key").where((F.col("x.id") != F.col("y.id")) & near))
-    pairs = materialise(pairs.unionByName(to_centres).distinct(), "pairs")
-    groups = connected_components(similar(pairs))
-    placed = many.join(groups, F.col("x.id") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.id").alias("root"))
-    placed = materialise(placed, "placed")
-    largest = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max_by("root", "c").alias("main"))
-    rest = placed.join(largest, "key").where("root <> main").select("key", F.col("x").alias("y"), F.col("root").alias("other"))
-    across = _ordered(placed.join(rest, "key").where((F.col("root") != F.col("other")) & near))
+    few, crowded = few or FEW, crowded or CROWDED
+    attributes = [c for c in filed.columns if c != "key"]
+    counts = filed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("first"), F.max("v").alias("last")).where("c > 1")
+    shared = materialise(filed.join(counts, "key").select("key", F.struct(*attributes).alias("x"), "c", "first", "last"), "shared")
+    some, many = shared.where(F.col("c") <= few), shared.where(F.col("c") > few)
+    pairs = some.join(some.select("key", F.col("x").alias("y")), "key").where((F.col("x.v") < F.col("y.v")) & near)
+    ends = many.where((F.col("x.v") == F.col("first")) | (F.col("x.v") == F.col("last"))).select("key", F.col("x").alias("y"))
+    to_ends = many.join(ends, "key").where((F.col("x.v") != F.col("y.v")) & near)
+    pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).unionByName(to_ends.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")))
+    groups = connected_components(similar(materialise(pairs.distinct(), "pairs")))
+    placed = many.join(groups, F.col("x.v") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.v").alias("root"))
+    level = materialise(_apart(placed), "apart")
+    across = _across(level.where(F.col("c") <= crowded), near)
+    level = level.where(F.col("c") > crowded).select("key", "x", "root", F.array("key").alias("keys"))
+    others = shared.select(F.col("x.v").alias("of"), F.col("key").alias("other"))
+    for depth in range(2, KEYS_IN_COMMON + 1):
+        if level.isEmpty():
+            break
+        finer = level.join(others, F.col("x.v") == F.col("of")).where(~F.array_contains("keys", F.col("other")))
+        finer = finer.select("x", "root", F.sort_array(F.concat("keys", F.array("other"))).alias("keys"))
+        finer = finer.select(F.xxhash64("keys").alias("key"), "x", "root", "keys").distinct()
+        level = materialise(_apart(finer), "finer")
+        last = depth == KEYS_IN_COMMON
+        across = across.unionByName(_across(level if last else level.where(F.col("c") <= crowded), near))
+        level = level.where(F.col("c") > crowded).select("key", "x", "root", "keys")
     across = materialise(across.distinct(), "across")
     if across.isEmpty():
         return groups
