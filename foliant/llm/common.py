@@ -93,11 +93,12 @@ def join_small(rows: DataFrame, small: DataFrame, key: str, small_key: str, how:
     """rows joined to a table with one row per key, null matching null; small_key is dropped.
 
     The table is counted: a small one is broadcast, and of a larger one each row
-    goes to every salt, so that a hot key of rows does not land in one task.
+    goes to every salt, so that a hot key of rows does not land in one task. A row's
+    salt is a hash of it, so that a task run again deals it out as before.
     """
     same = F.col(small_key).eqNullSafe(F.col(key))
     if small.count() <= BROADCAST_ROWS:
         return rows.join(F.broadcast(small), same, how).drop(small_key)
-    dealt = rows.withColumn("_row_salt", F.floor(F.rand(7) * SALTS).cast("int"))
+    dealt = rows.withColumn("_row_salt", F.pmod(F.xxhash64(*[c for c, t in rows.dtypes if "map<" not in t]), F.lit(SALTS)).cast("int"))
     copies = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return dealt.join(copies, same & (F.col("_salt") == F.col("_row_salt")), how).drop(small_key, "_salt", "_row_salt")

@@ -174,19 +174,19 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that judge() keeps, in docs' columns. Texts are counted again instead of shuffled."""
-    counted = materialise(features(docs), "features")
-    cutoffs = safe_cutoffs(counted, labels)
-    rows = docs.select("doc_id", "lang", "text", F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    with_row = features_beside(rows)
-    kept = verdicts(with_row, cutoffs).where("kept")
-    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
-
+    """The rows of docs that judge() keeps, in docs' columns.
 
-def features_beside(rows: DataFrame) -> DataFrame:
-    """features() of rows, with their column row."""
-    counted = features(rows.withColumn("doc_id", F.struct("doc_id", "row")))
-    return counted.withColumn("row", F.col("doc_id")["row"]).withColumn("doc_id", F.col("doc_id")["doc_id"])
+    Texts are counted once for the cutoffs and once beside their row, instead of
+    being shuffled to their verdict.
+    """
+    cutoffs = safe_cutoffs(materialise(features(docs), "features"), labels)
+    rows = docs.withColumn("doc_id", F.struct("doc_id", F.struct(*[docs[c] for c in docs.columns]).alias("row")))
+    counted = features(rows.select("doc_id", "lang", "text"))
+    # explode() keeps the optimiser from putting the counts once more into the filter on verdicts
+    once = counted.select(F.explode(F.array(F.struct(*counted.columns))).alias("c")).select("c.*")
+    known = once.select(F.col("doc_id.row").alias("row"), *[c for c in counted.columns if c != "doc_id"])
+    kept = verdicts(known, cutoffs).where("kept")
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def _oracle() -> str:

@@ -11,14 +11,12 @@ The keep-one stage links by the similarity of shingle sets itself.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, ship
@@ -33,12 +31,8 @@ HOT_BUCKET = 20_000
 CROWD, CROWD_WIDE = 8, 2048
 #: Jaccard similarity of shingle sets from which the keep-one stage takes texts for near duplicates.
 SIMILARITY = 0.8
-#: Texts under a shingle beyond which they are first compared with centres, of which each shingle has so many.
-CROWDED, CENTRES = 256, 4
-#: LONGs of 64 bits that hold the parity of a text's shingles.
-PARITIES = 24
-#: Texts up to which a list of them is broadcast.
-BROADCAST_TEXTS = 500_000
+#: Shingles by which the stage files a text, and bits in which near duplicates may differ there; unrelated texts differ in 32 on average.
+STAGE_KEYS, STAGE_RADIUS = 16, 22
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -219,13 +213,9 @@ def shingles(text: str | None, width: int) -> np.ndarray:
     return np.unique(np.frombuffer(hashes, dtype=np.int64))
 
 
-def _sets(docs: DataFrame, width: int, similarity: float | None) -> DataFrame:
-    """(doc_id, id, n, keys, p0...): a hash of each row's shingle set, its size, its shingles, and their parities.
-
-    A shingle turns one bit of the parities. With a similarity, only the first shingles, of which sets that similar have one in common.
-    """
+def _sets(docs: DataFrame, width: int, keys: int | None) -> DataFrame:
+    """(doc_id, id, n, fp, keys): a hash of each row's shingle set, its size, its SimHash, and its `keys` least shingles, or all."""
     ship(docs.sparkSession)
-    parities = [f"p{i}" for i in range(PARITIES)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_digest
@@ -236,49 +226,54 @@ def _sets(docs: DataFrame, width: int, similarity: float | None) -> DataFrame:
                 sets = [shingles(t.as_py(), width) for t in part.column(1)]
                 ids = np.frombuffer(b"".join(xxh64_digest(x.tobytes(), SEED) for x in sets), dtype=np.int64)
                 sizes = np.array([x.size for x in sets], dtype=np.int64)
-                odd = np.array([np.bincount(x % (PARITIES * 64), minlength=PARITIES * 64) & 1 for x in sets], dtype=np.uint8)
-                odd = np.packbits(odd, axis=1).view(np.int64)
-                if similarity is not None:  # all but so many shingles may be missing from the other
-                    sets = [x[: x.size - math.ceil(x.size * similarity - 1e-9) + 1] for x in sets]
+                fps = np.array([_majority(x) for x in sets], dtype=np.int64)
+                sets = [x[:keys] for x in sets]
                 ends = np.cumsum([0] + [x.size for x in sets])
-                keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(sizes), keys, *[pa.array(x.copy()) for x in odd.T]], ["doc_id", "id", "n", "keys", *parities])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids), pa.array(sizes), pa.array(fps), lists], ["doc_id", "id", "n", "fp", "keys"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, id long, n long, keys array<long>, " + ", ".join(f"{p} long" for p in parities))
+    return rows.mapInArrow(run, "doc_id long, id long, n long, fp long, keys array<long>")
+
+
+def _majority(hashes: np.ndarray) -> int:
+    """SimHash of distinct hashes, as a signed number."""
+    counts = np.zeros(64, dtype=np.int64)
+    for i in range(0, hashes.size, CHUNK):
+        counts += np.unpackbits(hashes[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > hashes.size).view(np.int64)[0])
 
 
 def similar_documents(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, component_id): for each row the smallest doc_id linked to it.
 
     Rows link when their shingle sets have a Jaccard similarity of `similarity` or
-    more, and links chain. All such pairs are found: of n shingles in the order of
-    their hashes, (1 - similarity) * n and one more must hold a common one. Shingles
-    of only one of two similar sets are (1 - similarity) / (1 + similarity) of both
-    sizes at most, and so are the bits in which their parities differ.
+    more, and links chain. Sets are filed by their STAGE_KEYS least hashes of
+    shingles; each of these is in both sets with a probability of the similarity, so
+    that at 0.8 about one pair in 10^11 has none in common. Those filed together are
+    compared by their SimHashes, which differ in STAGE_RADIUS bits at most, and then
+    by their whole sets. Rows of equal sets are one node.
     """
-    sized = ["n", *[f"p{i}" for i in range(PARITIES)]]
-    prints = materialise(_sets(docs, width, similarity), "sets")
-    classes = materialise(prints.groupBy("id").agg(F.min("doc_id").alias("first_id"), *[F.max(c).alias(c) for c in sized]), "classes")
-    filed = prints.dropDuplicates(["id"]).select("id", F.explode("keys").alias("key"))
-    shared = filed.withColumn("c", F.count(F.lit(1)).over(Window.partitionBy("key"))).where("c > 1")
-    shared = shared.join(classes.select("id", F.struct("id", *sized).alias("x")), "id").select("key", "x", "c")
+    prints = materialise(_sets(docs, width, STAGE_KEYS), "sets")
+    slots = [f"key{i}" for i in range(STAGE_KEYS)]
+    known = prints.select("doc_id", "id", "n", "fp", *[F.get("keys", F.lit(i)).alias(c) for i, c in enumerate(slots)])
+    classes = known.groupBy("id").agg(F.min("doc_id").alias("first_id"), *[F.max(c).alias(c) for c in ("n", "fp", *slots)])
+    classes = materialise(classes, "classes")
+    filed = classes.select(F.explode(F.array(*slots)).alias("key"), F.col("id").alias("v"), "n", "fp").where("key is not null")
     near = F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * similarity - 1e-9
-    odd = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.p{i}").bitwiseXOR(F.col(f"y.p{i}"))) for i in range(PARITIES)])
-    near = near & (odd <= (F.col("x.n") + F.col("y.n")) * ((1 - similarity) / (1 + similarity)) + 1e-9)
+    near = near & (F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= STAGE_RADIUS)
 
     def similar(pairs):
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        wanted = materialise(classes.join(ids, "id", "left_semi").select("first_id", F.col("id").alias("of")), "wanted")
-        hint = F.broadcast(wanted) if wanted.count() <= BROADCAST_TEXTS else wanted
-        texts = docs.join(hint, F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
-        sets = materialise(_sets(texts, width, None).join(hint, F.col("id") == F.col("of"), "left_semi").dropDuplicates(["id"]), "shingles")
+        wanted = classes.join(ids, "id", "left_semi").select("first_id", F.col("id").alias("of"))
+        texts = docs.join(wanted.select("first_id").distinct(), F.col("doc_id").cast("long").eqNullSafe(F.col("first_id")), "left_semi")
+        sets = materialise(_sets(texts, width, None).join(ids, "id", "left_semi").dropDuplicates(["id"]), "shingles")
         one, two = (sets.select(F.col("id").alias(x), F.col("keys").alias(f"k{x}")) for x in "ab")
         both = F.size(F.array_intersect("ka", "kb"))
         return pairs.join(one, "a").join(two, "b").where(both >= similarity * (F.size("ka") + F.size("kb") - both) - 1e-9).select("a", "b")
 
-    roots = linked_groups(materialise(shared, "shared"), near, similar, CROWDED, CENTRES).withColumnRenamed("node", "id")
-    labelled = classes.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    roots = linked_groups(filed, near, similar).withColumnRenamed("node", "id")
+    labelled = classes.select("id", "first_id").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
     least = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return prints.select("doc_id", "id").join(labelled.join(least, "root").select("id", "component_id"), "id").select("doc_id", "component_id")
 
@@ -287,8 +282,17 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) ->
     """docs with one document of each group of near duplicates, that of the smallest doc_id, in docs' columns.
 
     Of rows that share a doc_id one stays at most; rows without a doc_id stay only
-    if their group has no other, one of them. Texts without words are one group.
+    if their group has no other, one of them: that of the smallest hash of its
+    columns, so that reruns agree. Texts without words are one group.
     """
     found = similar_documents(docs, width, similarity)
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id"])
+    left = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    tie = left.select(F.col("doc_id").alias("tie_id"), F.xxhash64(*[F.to_json(F.struct(c)) for c in left.columns]).alias("tie"))
+    repeated = materialise(tie.groupBy("tie_id").agg(F.min("tie").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated")
+    if repeated.isEmpty():
+        return left
+    marked = left.select("doc_id", F.struct(*[left[c] for c in left.columns]).alias("row"), F.xxhash64(*[F.to_json(F.struct(c)) for c in left.columns]).alias("tie"))
+    marked = marked.join(repeated, F.col("doc_id").eqNullSafe(F.col("tie_id")), "left").where("least is null or tie = least")
+    marked = marked.dropDuplicates(["doc_id"])  # those left are equal
+    return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns])
