@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -34,7 +35,15 @@ ASIDE_STEMS = ("advert", "cookie", "comment", "sponsor", "promo", "subscri", "ne
 HEADER_WORDS = {"header", "head", "banner", "hero"}
 MAIN_WORDS = set("article content main post story entry body text".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']+|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
+#: Of those, what repeats on a page as articles of its own.
+REPEATED_STEMS = ("comment", "disqus", "respon", "repl", "relat", "recommend", "teaser", "widget")
+#: Parts that make a class name tell how a page is laid out and not what an element holds.
+STATE_FIRST, STATE_LAST = {"with", "has", "no", "is", "page", "theme", "layout", "without", "single"}, {"open", "closed", "enabled", "disabled", "active", "layout", "page", "theme", "board"}
+#: Words without links from which a block counts as prose.
+PROSE = 20
+
+_NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+_STOP = re.compile(r"[>\"']")
 _NAMED = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
@@ -48,41 +57,74 @@ class Block:
     linked: int
     heading: bool
     context: int  # -1 in something that holds no article, 1 in an article, 0 in neither
+    within: tuple[int, ...] = ()  # the open elements that only their names tell to be no article
+    title: bool = False  # in an h1
 
     @property
     def density(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _kind(tag: str, attributes: str, inside: int) -> int:
-    """What an element says of its content: -1 no article, 1 an article, 0 nothing."""
+class Tags:
+    """The places where tags end, each found once, so that a page takes time in proportion to its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def end(self, at: int) -> int:
+        """Place after the tag whose attributes begin at `at`. A quote opens a value after = only, and only if it is closed."""
+        page = self.page
+        while found := _STOP.search(page, at):
+            at, c = found.end(), found[0]
+            if c == ">":
+                return at
+            if self.last[c] >= at and page[:at - 1][-64:].rstrip().endswith("="):
+                at = page.index(c, at) + 1
+        return len(page)
+
+
+def _names(value: str) -> set[str]:
+    """The lower-case parts of a class, id or role, but of names that tell a layout or a state."""
+    parts: set[str] = set()
+    for name in value.split():
+        found = [p.lower() for p in _PART.findall(name)]
+        if len(found) > 1 and (found[0] in STATE_FIRST or found[-1] in STATE_LAST):
+            continue
+        parts |= {*found, name.lower()}
+    return parts
+
+
+def _kind(tag: str, attributes: str, inside: int) -> tuple[int, bool, bool]:
+    """What an element says of its content: -1 no article, 1 an article, 0 nothing; whether only its names say -1; whether as one of many."""
     if tag in ASIDE or (tag == "header" and inside != 1):
-        return -1
+        return -1, False, False
     parts: set[str] = set()
     if attributes and not attributes.isspace():
         for name, *values in _NAMED.findall(attributes):
             name, value = name.lower(), "".join(values)
             if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
-                return -1
+                return -1, False, False
             if name in ("class", "id", "role"):
-                parts |= {p.lower() for p in _PART.findall(value)}
-                parts |= set(value.lower().split())
+                parts |= _names(value)
     if parts and tag not in ("body", "html"):
         if parts & ASIDE_WORDS or any(p.startswith(ASIDE_STEMS) for p in parts) or (inside != 1 and parts & HEADER_WORDS):
-            return -1
-    if tag in MAIN or parts & MAIN_WORDS:
-        return 1
-    return 0
+            return -1, True, any(p.startswith(REPEATED_STEMS) for p in parts)
+    return int(tag in MAIN or bool(parts & MAIN_WORDS)), False, False
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The text blocks of a page in page order; white space in a block is one space."""
+    """The text blocks of a page in page order; white space in a block is one space.
+
+    Whatever the markup, each character is looked at a bounded number of times.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, int]] = []  # open elements but inline ones, with the context inside them
+    stack: list[tuple[str, int, tuple[int, ...], bool]] = []  # open elements but inline ones: the context inside, the elements that names speak against, whether one of many
+    still: Counter[str] = Counter()  # open elements by tag
     parts: list[str] = []
     linked: list[str] = []
-    link = heading = False
-    context = 0
+    link = heading = title = False
+    tags, n_open = Tags(page), 0
 
     def close() -> None:
         nonlocal parts, linked
@@ -90,7 +132,8 @@ def blocks_of(page: str) -> list[Block]:
             words = html.unescape("".join(parts)).split()
             if words:
                 n = len(html.unescape("".join(linked)).split()) if linked else 0
-                out.append(Block(" ".join(words), len(words), min(n, len(words)), heading, context))
+                context, within = stack[-1][1:3] if stack else (0, ())
+                out.append(Block(" ".join(words), len(words), min(n, len(words)), heading, context, within, title))
             parts, linked = [], []
 
     at, end = 0, len(page)
@@ -104,16 +147,20 @@ def blocks_of(page: str) -> list[Block]:
                 linked.append(page[at:start] + " ")
         if start == end:
             break
-        found = _TOKEN.match(page, start)
+        if page.startswith("<!--", start):
+            at = page.find("-->", start + 4) + 3
+            at = at if at > 2 else end
+            continue
+        if page.startswith(("<!", "<?"), start):
+            at = page.find(">", start) + 1 or end
+            continue
+        found = _NAME.match(page, start)
         if not found:
             parts.append("<")
             at = start + 1
             continue
-        at = found.end()
-        tag = (found[2] or found[5] or "").lower()
-        if not tag:
-            continue
-        closing, attributes = found[1] or found[4], found[3] or found[6] or ""
+        tag, closing, at = found[1].lower(), page[start + 1] == "/", tags.end(found.end())
+        attributes = page[found.end() : at].removesuffix(">")
         if tag == "a":
             link = not closing
         if tag in INLINE:
@@ -123,24 +170,41 @@ def blocks_of(page: str) -> list[Block]:
         close()
         if tag in RAW:
             if not closing and not attributes.endswith("/"):
-                ends = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = ends.end() if ends else end
+                ends = re.compile(rf"</{re.escape(tag)}\b", re.I).search(page, at)
+                at = tags.end(ends.end()) if ends else end
             continue
         if tag in VOID or tag == "p":
             heading = heading and tag != "p"
             continue
         link = False
-        heading = tag in HEADINGS and not closing
+        heading, title = tag in HEADINGS and not closing, tag == "h1" and not closing
         if closing:
-            if any(t == tag for t, _ in stack):
-                while stack.pop()[0] != tag:
-                    pass
+            if still[tag]:
+                while (top := stack.pop()[0]) != tag:
+                    still[top] -= 1
+                still[tag] -= 1
         elif not attributes.endswith("/"):
-            inside = stack[-1][1] if stack else 0
-            kind = -1 if inside == -1 else _kind(tag, attributes, inside)
-            stack.append((tag, kind or inside))
-        context = stack[-1][1] if stack else 0
+            _, inside, within, many = stack[-1] if stack else ("", 0, (), False)
+            firm = inside == -1 and not within
+            kind, by_name, repeated = (-1, False, False) if firm else _kind(tag, attributes, max(inside, 0) if within else inside)
+            if inside == -1 and not firm:
+                if kind == -1 and not by_name:
+                    within = ()
+                elif kind == 1 and tag in MAIN and not many:
+                    inside, within = 1, ()  # an article is one, though an element about it has a name that speaks against it
+                else:
+                    many, kind = many or repeated, -1
+            elif kind == -1 and by_name:
+                n_open += 1
+                within, many = (n_open,), repeated
+            stack.append((tag, kind or inside, within, many))
+            still[tag] += 1
     close()
+    # an element that holds the page's title and prose is no aside, whatever its names say
+    held = {w for b in out if b.title for w in b.within} & {w for b in out if b.words - b.linked >= PROSE for w in b.within}
+    for b in out:
+        if held.intersection(b.within):
+            b.context = 0
     return out
 
 

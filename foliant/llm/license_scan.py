@@ -7,6 +7,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from .common import ship
 #: The share of a template's words that must be found in order.
 COVERAGE = 0.8
 #: Gaps without a word unique to both sides are aligned word by word up to this many pairs.
-SMALL_GAP = 40_000
+SMALL_GAP = 400
 
 #: Notices and licence texts to look for, by their SPDX names.
 TEMPLATES = {
@@ -114,12 +115,40 @@ def _small(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return out
 
 
+def _row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of longest common subsequences of a and each beginning of b."""
+    row = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        row[1:] = np.maximum(row[1:], row[:-1] + (b == x))
+        np.maximum.accumulate(row, out=row)
+    return row
+
+
+def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence in linear space: a is halved, b is cut where both halves match most."""
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(w, len(codes)) for w in words]) for words in (a, b))
+    out, parts = [], [(0, len(a), 0, len(b))]
+    while parts:
+        i, m, j, n = parts.pop()
+        if i >= m or j >= n:
+            continue
+        if (m - i) * (n - j) <= SMALL_GAP or m - i == 1:
+            out += [(i + p, j + q) for p, q in _small(a[i:m], b[j:n])]
+            continue
+        h = (i + m) // 2
+        cut = j + int(np.argmax(_row(x[i:h], y[j:n]) + _row(x[h:m][::-1], y[j:n][::-1])[::-1]))
+        parts += [(i, h, j, cut), (h, m, cut, n)]
+    return sorted(out)
+
+
 def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Places (i, j) of words matched in order between a and b.
 
     What both begin and end with is matched; words that are unique in both are
     anchors, those of a longest rising run of them hold, and the gaps between are
-    aligned the same way. A gap without anchors is matched word by word if small.
+    aligned the same way. A gap without anchors is matched by a longest common
+    subsequence, however large.
     """
     out: list[tuple[int, int]] = []
     gaps = [(0, len(a), 0, len(b))]
@@ -142,8 +171,8 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             for (x0, y0), (x1, y1) in zip([(i - 1, j - 1), *held], [*held, (m, n)]):
                 gaps.append((x0 + 1, x1, y0 + 1, y1))
             out += held
-        elif (m - i) * (n - j) <= SMALL_GAP:
-            out += [(i + x, j + y) for x, y in _small(a[i:m], b[j:n])]
+        else:
+            out += [(i + x, j + y) for x, y in _common(a[i:m], b[j:n])]
     return sorted(out)
 
 
@@ -178,12 +207,12 @@ class Scanner:
         # a copy lacks less than (1 - coverage) of the template's words, so of one more than that it holds some
         seeds = sorted(range(n), key=lambda q: (len(places.get(template[q], ())), q))[: int((1 - self.coverage) * n + 1e-9) + 1]
         starts = sorted({p - q for q in seeds for p in places.get(template[q], ())})
-        slack, found, last = n // 4 + 4, [], None
+        slack, stride, found, last = n // 4 + 4, max(1, n // 16), [], None
         for s in starts:
-            if last is not None and s - last < max(1, slack // 4):
-                continue  # the window before differs by a few words of slack
+            if last is not None and s - last < stride:
+                continue  # within the window before
             last = s
-            low, high = max(0, s - slack), min(len(words), s + n + slack)
+            low, high = max(0, s - slack), min(len(words), s + stride - 1 + n + slack)
             pairs = align(template, words[low:high])
             if len(pairs) >= self.coverage * n - 1e-9:
                 first, end = low + pairs[0][1], low + pairs[-1][1] + 1

@@ -168,6 +168,43 @@ def test_pages():
     assert html_extract.main_text(page) == "Head & line\n\nFirst bold words here.\n\nSecond."
 
 
+@pytest.mark.parametrize("wrapper", ["layout with-sidebar", "has-cookie-bar", "page-form", "theme-related", "single-post comments-open", "notice-board", "notice"])
+def test_names_of_wrappers_keep_the_article(wrapper):
+    prose = ["The river rose for three days before anyone in the village thought of moving the cattle to the upper meadows beyond the mill."] * 2
+    page = f'<div class="{wrapper}"><ul class="menu"><li><a href=a>Home</a><li><a href=b>News</a></ul><article><p>{prose[0]}</p><p>{prose[1]}</p></article><div class="comments"><article><p>{prose[0]} I say.</p></article></div></div>'
+    assert html_extract.main_text(page) == "\n\n".join(prose)
+
+
+def test_malformed_pages_take_linear_time():
+    import time
+
+    prose = "<p>" + "word and more of them here so that it is prose " * 5 + "</p>"
+    pages = ['<a x "' + "y" * 50_000 + prose, "<a " + "k" * 40 + '"></a>' + prose, '<a href="' * 20_000 + prose, "<div " + "a='b' " * 20_000, "<div><p>" * 30_000 + "</section>" * 30_000 + prose,
+             "<" * 50_000 + prose, "<!--" + "x" * 100_000, "<script>" * 5_000 + prose, "<p title='" + '"' * 50_000 + "'>" + prose, "&#x110000; &bogus; &" * 5_000, "<a class=" + " " * 50_000 + ">" + prose]
+    began = time.time()
+    found = [html_extract.main_text(p) for p in pages]
+    assert time.time() - began < 10
+    assert "word and more" in found[1] and "word and more" in found[8]
+    assert html_extract.main_text("<p>" + "a < b and b > c holds for all of the numbers that we have looked at in this long text of ours so far.") != ""
+
+
+def test_alignment_against_longest_common_subsequences():
+    rng = random.Random(3)
+    for n, m in ((30, 40), (250, 300), (220, 220)):
+        a, b = rng.choices("abcdefgh", k=n), rng.choices("abcdefgh", k=m)
+        best = np.zeros((n + 1, m + 1), dtype=int)
+        for i in range(n):
+            for j in range(m):
+                best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        pairs = license_scan._common(a, b)
+        assert len(pairs) == best[n, m] and all(a[i] == b[j] for i, j in pairs)
+        assert all(p < q and r < s for (p, r), (q, s) in zip(pairs, pairs[1:]))
+    twice = [f"w{i}" for i in range(110)] * 2  # no word is unique: no anchors
+    changed = ["new" if i in (60, 150) else w for i, w in enumerate(twice)]
+    found = license_scan.Scanner({"twice": " ".join(twice)}, 0.8).scan("some words before " + " ".join(changed) + " and after")
+    assert [(name, round(c, 3)) for name, c, _, _ in found] == [("twice", 0.991)]
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
