@@ -79,7 +79,7 @@ class Tags:
             at, c = found.end(), found[0]
             if c == ">":
                 return at
-            if self.last[c] >= at and page[:at - 1][-64:].rstrip().endswith("="):
+            if self.last[c] >= at and page[max(0, at - 65) : at - 1].rstrip().endswith("="):
                 at = page.index(c, at) + 1
         return len(page)
 
@@ -243,6 +243,9 @@ LABELLED = """
 0 0 120 0 0 8 90 0 1
 0 0.05 60 0 0 120 70 0 1
 0 0 35 0.05 0 60 12 0 1
+0 0 60 0 0 0 0 0 1
+0 0 26 0 0 0 40 0 1
+0 0 90 0 0 30 0 0 1
 0 0.10 22 0 0 90 40 0 1
 0 0 18 0 0 45 55 0 1
 0 0.25 16 0 0 30 30 0 1
