@@ -298,6 +298,10 @@ LABELLED = """
 1 0.60 8 0 0 80 50 0 1
 1 0.40 4 0 0 25 30 0 1
 1 0 60 0 0.30 14 9 0 1
+1 0 12 0 0 242 2 0 1
+1 0 46 0 0 154 1 0 1
+1 0 30 0 0 300 3 0 1
+1 0 4 0 0 130 2 0 1
 """.strip()
 
 
