@@ -37,7 +37,7 @@ def detections(spark: SparkSession, sf_dir: str, across: int = 500, down: int =
 
 
 def detections_sql(across: int = 500, down: int = 700) -> str:
-    return f"""dets AS (
+    return f"""dets AS MATERIALIZED (
     SELECT CAST(floor(l_orderkey / 64) AS BIGINT) AS doc_id, CAST(floor(l_orderkey / 8) % 8 AS INT) AS page_idx,
            CAST(row_number() OVER (PARTITION BY floor(l_orderkey / 8)
                 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS INT) AS ord,
