@@ -185,7 +185,7 @@ def test_malformed_pages_take_linear_time():
     found = [html_extract.main_text(p) for p in pages]
     assert time.time() - began < 10
     assert "word and more" in found[1] and "word and more" in found[8]
-    assert html_extract.main_text("<p>" + "a < b and b > c holds for all of the numbers that we have looked at in this long text of ours so far.") != ""
+    assert html_extract.main_text("<p>" + "a < b and b > c holds for all of the numbers that we have looked at so far. " * 3).startswith("a < b and b > c holds")
 
 
 def test_alignment_against_longest_common_subsequences():
