@@ -72,13 +72,21 @@ def is_white(colour: Column) -> Column:
     return colour == 0xFFFFFF
 
 
-def tidy_latex(text: Column, passes: int = 4) -> Column:
+#: Times the rules between tokens are gone through; each looks at every place anew.
+LATEX_PASSES = 8
+OPERATOR = r"\\(?:operatorname|mathrm|text|mathbf)\s*\*?\s*\{[^{}]*\}"
+
+
+def tidy_latex(text: Column, passes: int = LATEX_PASSES) -> Column:
     """LaTeX without the spaces that a recogniser leaves between tokens; a space after a command stays before a letter.
 
-    One pass can make room for another only where single characters alternate with
-    spaces, and each pass halves such a run's spaces at least, so a few settle it.
+    A group that names an operator or a font loses all its spaces. Between other
+    tokens a pass removes every space that stands alone between two of them, so a
+    second pass finds those that the first had to skip; the rest are to spare.
     """
-    text = F.regexp_replace(text, r"\\(operatorname|mathrm|text|mathbf)\s*\*?\s*\{\s*([^{}]*?)\s*\}", r"\\$1{$2}")
+    groups = F.regexp_extract_all(text, F.lit(OPERATOR), F.lit(0))
+    pieces = F.split(text, OPERATOR)
+    text = F.array_join(F.zip_with(pieces, groups, lambda p, x: F.concat(p, F.coalesce(F.regexp_replace(x, r"\s+", ""), F.lit("")))), "")
     for _ in range(passes):
         text = F.regexp_replace(text, r"(?<!\\[A-Za-z]{0,20})([^A-Za-z\s])\s+(?=\S)", "$1")
         text = F.regexp_replace(text, r"(\S)\s+(?=[^A-Za-z\s])", "$1")

@@ -1,7 +1,9 @@
-"""Page-local algorithms that go step by step, as grouped kernels: each sees the boxes of one page.
+"""Page-local algorithms that go step by step: each sees the boxes of one page.
 
 A page holds some hundred boxes, so a group is small whatever the corpus. Where a
-step depends on what earlier ones removed or moved, no join can stand in for it.
+step depends on what earlier ones removed, pairs are found by a join and folded in
+order; where boxes move or are cut up on the way, pages go through an Arrow kernel,
+many to a batch.
 """
 
 from __future__ import annotations
@@ -10,22 +12,49 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .detections import PAGE
+from ..functions import geometry as g
+from .detections import PAGE, pairs
 
 BOX = ["x0", "y0", "x1", "y1"]
 
 
 def _by_page(boxes: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    return boxes.groupBy(*PAGE).applyInPandas(kernel, schema)
+    """kernel of each page's boxes. Pages are dealt out and sorted once, and taken from whole batches; one that a batch ends in is held for the next."""
 
+    def run(batches):
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if batch.empty:
+                continue
+            last = (batch[PAGE] == batch[PAGE].iloc[-1]).all(axis=1)
+            held, whole = batch[last], batch[~last]
+            if len(whole):
+                yield pd.concat([kernel(page) for _, page in whole.groupby(PAGE, sort=False)], ignore_index=True)
+        if held is not None:
+            yield kernel(held)
+
+    return boxes.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInPandas(run, schema)
+
+
+def _losers(found: DataFrame) -> DataFrame:
+    """(page keys, ord): of pairs (page keys, i, j, loser) of boxes, the losers of those that meet.
+
+    Pairs meet in the order of i, then j, unless one of the two has lost before.
+    """
+    met = F.array_sort(F.collect_list(F.struct("i", "j", "loser")))
+    none = F.array().cast("array<struct<i:int,j:int,loser:int>>")
+    out = lambda lost, p: F.exists(lost, lambda x: (x["loser"] == p["i"]) | (x["loser"] == p["j"]))
+    fold = F.aggregate("met", none, lambda lost, p: F.when(out(lost, p), lost).otherwise(F.concat(lost, F.array(p))))
+    return found.groupBy(*PAGE).agg(met.alias("met")).select(*PAGE, F.explode(fold).alias("p")).select(*PAGE, F.col("p.loser").alias("ord"))
 
-def _iou(a: np.ndarray, b: np.ndarray) -> float:
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    both = max(w, 0) * max(h, 0)
-    total = (a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - both
-    return both / total if total else 0.0
+
+def _meeting(boxes: DataFrame, rule: Column, loser: Column) -> DataFrame:
+    found = pairs(boxes, boxes, (F.col("a.ord") < F.col("b.ord")) & rule)
+    return found.select(*[F.col(f"a.{k}").alias(k) for k in PAGE], F.col("a.ord").alias("i"), F.col("b.ord").alias("j"), loser.alias("loser"))
 
 
 def drop_repeated_spans(spans: DataFrame, share: float = 0.9) -> DataFrame:
@@ -33,54 +62,34 @@ def drop_repeated_spans(spans: DataFrame, share: float = 0.9) -> DataFrame:
 
     A span that went takes part in no further pair; of equal certainty the first stays.
     """
-
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", ignore_index=True)
-        boxes, score, gone = page[BOX].to_numpy(), page["score"].to_numpy(), set()
-        for i in range(len(page)):
-            for j in range(i + 1, len(page)):
-                if i in gone:
-                    break
-                if j not in gone and _iou(boxes[i], boxes[j]) > share:
-                    gone.add(i if score[i] < score[j] else j)
-        return page.drop(index=list(gone))[[*PAGE, "ord"]]
-
-    return _by_page(spans, kernel, "doc_id long, page_idx int, ord int")
+    loser = F.when(F.col("a.score") < F.col("b.score"), F.col("a.ord")).otherwise(F.col("b.ord"))
+    lost = _losers(_meeting(spans, g.iou(g.box("a."), g.box("b.")) > share, loser))
+    return spans.select(*PAGE, "ord").join(lost, [*PAGE, "ord"], "left_anti")
 
 
 def drop_until_apart(boxes: DataFrame, share: float = 0.5) -> DataFrame:
     """(page keys, ord): boxes left after the smaller of the first pair side by side on one height goes, until none is.
 
     Two boxes are side by side if one starts within the other's x range and they
-    share at least `share` of either height.
+    share at least `share` of either height. What goes takes only pairs with it, so
+    that the pairs left meet in the order in which all stood at first.
     """
-
-    def overlap(p: np.ndarray, q: np.ndarray) -> bool:
-        h = min(p[3], q[3]) - max(p[1], q[1])
-        if h <= 0 or not (h >= share * (p[3] - p[1]) or h >= share * (q[3] - q[1])):
-            return False
-        return p[0] <= q[0] <= p[2] or q[0] <= p[0] <= q[2]
-
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", ignore_index=True)
-        boxes, left = page[BOX].to_numpy(), list(range(len(page)))
-        area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
-        while True:
-            pair = next(((i, j) for a, i in enumerate(left) for j in left[a + 1 :] if overlap(boxes[i], boxes[j])), None)
-            if pair is None:
-                break
-            left.remove(pair[0] if area[pair[0]] <= area[pair[1]] else pair[1])
-        return page.loc[left, [*PAGE, "ord"]]
-
-    return _by_page(boxes, kernel, "doc_id long, page_idx int, ord int")
+    a, b = g.box("a."), g.box("b.")
+    loser = F.when(g.smaller_is_first(a, b), F.col("a.ord")).otherwise(F.col("b.ord"))
+    lost = _losers(_meeting(boxes, g.beside_from_left(a, b, share) | g.beside_from_left(b, a, share), loser))
+    return boxes.select(*PAGE, "ord").join(lost, [*PAGE, "ord"], "left_anti")
 
 
 def separate(boxes: DataFrame) -> DataFrame:
     """(page keys, ord, box): boxes drawn back from one another, in order.
 
-    One inside another goes; two that overlap part at the middle of the shorter side
-    of what they share, a quarter point to either side; a box left without area goes.
+    First what lies inside another goes, of equal boxes the later one; then two that
+    overlap part at the middle of the shorter side of what they share, a quarter
+    point to either side; a box left without area goes.
     """
+    inner, outer = g.box("a."), g.box("b.")
+    beaten = (F.col("a.ord") != F.col("b.ord")) & g.contained(inner, outer) & (~g.contained(outer, inner) | (F.col("a.ord") > F.col("b.ord")))
+    boxes = pairs(boxes, boxes, beaten, "left_anti")
 
     def kernel(page: pd.DataFrame) -> pd.DataFrame:
         page = page.sort_values("ord", ignore_index=True)
@@ -111,15 +120,11 @@ def separate(boxes: DataFrame) -> DataFrame:
 
 def assign_captions(candidates: DataFrame) -> DataFrame:
     """(page keys, ord, object): of the candidates (page keys, ord, object, distance) the nearest pairs first, each box once."""
-
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        subjects, objects, rows = set(), set(), []
-        for row in page.sort_values(["distance", "ord", "object"]).itertuples():
-            if row.ord not in subjects and row.object not in objects:
-                subjects.add(row.ord), objects.add(row.object), rows.append(row.Index)
-        return page.loc[rows, [*PAGE, "ord", "object"]]
-
-    return _by_page(candidates, kernel, "doc_id long, page_idx int, ord int, object int")
+    met = F.array_sort(F.collect_list(F.struct("distance", "ord", "object")))
+    none = F.array().cast("array<struct<distance:double,ord:int,object:int>>")
+    taken = lambda held, c: F.exists(held, lambda x: (x["ord"] == c["ord"]) | (x["object"] == c["object"]))
+    fold = F.aggregate("met", none, lambda held, c: F.when(taken(held, c), held).otherwise(F.concat(held, F.array(c))))
+    return candidates.groupBy(*PAGE).agg(met.alias("met")).select(*PAGE, F.explode(fold).alias("c")).select(*PAGE, "c.ord", "c.object")
 
 
 def reading_order(boxes: DataFrame) -> DataFrame:
@@ -185,20 +190,22 @@ def xy_cut(boxes: DataFrame) -> DataFrame:
 
 
 def sort_text_boxes(boxes: DataFrame, band: float = 10.0) -> DataFrame:
-    """(page keys, ord, place): boxes down the page, neighbours of nearly one height put from left to right."""
+    """(page keys, ord, place): boxes down the page, those of nearly one height from left to right.
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        rows = page.sort_values(["y0", "x0", "ord"])[["y0", "x0", "ord"]].to_numpy().tolist()
-        for i in range(len(rows) - 1):
-            for j in range(i, -1, -1):
-                if abs(rows[j + 1][0] - rows[j][0]) < band and rows[j + 1][1] < rows[j][1]:
-                    rows[j], rows[j + 1] = rows[j + 1], rows[j]
-                else:
-                    break
-        place = {int(r[2]): k for k, r in enumerate(rows, 1)}
-        return page[[*PAGE, "ord"]].assign(place=page["ord"].map(place))
+    Boxes are taken by y0, x0 and ord, and each is put into the list of those before
+    it: behind the last one that is not to its right at nearly the same height.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("y0", "x0", "ord")))
+    none = F.array().cast("array<struct<y0:double,x0:double,ord:int>>")
+
+    def put(held, box):
+        stays = lambda i: ~((F.abs(box["y0"] - F.get(held, i - 1)["y0"]) < band) & (box["x0"] < F.get(held, i - 1)["x0"]))
+        places = F.filter(F.sequence(F.lit(1), F.size(held)), stays)
+        at = F.when(F.size(held) == 0, 0).otherwise(F.coalesce(F.array_max(places), F.lit(0)))
+        return F.concat(F.slice(held, F.lit(1), at), F.array(box), F.slice(held, at + 1, F.size(held)))
 
-    return _by_page(boxes, kernel, "doc_id long, page_idx int, ord int, place int")
+    listed = boxes.groupBy(*PAGE).agg(rows.alias("rows")).select(*PAGE, F.posexplode(F.aggregate("rows", none, put)).alias("at", "b"))
+    return listed.select(*PAGE, "b.ord", (F.col("at") + 1).alias("place"))
 
 
 def touching_groups(boxes: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 #: What is not to be translated, in the order in which it is masked.
 MASKS = (
+    ("MARK", r"</?PH>"),
     ("HTML", r"<(?!/?PH>)[^<>]+>"),
     ("YAML", r"\A---\n[\s\S]*?\n---\n"),
     ("COMMENT", r"<!--[\s\S]*?-->"),
@@ -48,7 +49,7 @@ def _masked(text: Column, masks: Column, kind: str, pattern: str) -> Column:
     name = lambda i: F.concat(F.lit(f"<PH>{kind}_"), i.cast("string"), F.lit("</PH>"))
 
     def replaced(found):
-        parts = F.split(F.regexp_replace(text, pattern, "\u0001"), "\u0001")
+        parts = F.split(text, pattern)  # as many as finds, and one more
         numbered = F.transform(parts, lambda p, i: F.when(i < F.size(found), F.concat(p, name(i))).otherwise(p))
         new = F.transform(found, lambda x, i: F.struct(name(i).alias("placeholder"), x.alias("original")))
         return F.struct(F.when(F.size(found) > 0, F.array_join(numbered, "")).otherwise(text).alias("text"), F.concat(masks, new).alias("masks"))

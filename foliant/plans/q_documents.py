@@ -99,11 +99,13 @@ def position_groups(spark, sf_dir):
     return dc.position_groups(fx.lines(spark, sf_dir).withColumnRenamed("line_no", "ord").select("doc_id", "page_idx", "ord", "x0", "y0", "x1", "y1"))
 
 
-@query("watermarks", f"""{LINES}, p AS (SELECT doc_id, count(DISTINCT page_idx) AS pages FROM lines GROUP BY doc_id), s AS (SELECT doc_id, x0, y0, substr(text, 1, 3) AS text, count(*) AS n FROM lines GROUP BY ALL)
+@query("watermarks", f"""{LINES}, p AS (SELECT doc_id, count(DISTINCT page_idx) AS pages FROM lines GROUP BY doc_id), marked AS (SELECT doc_id, page_idx, x0, y0, text FROM lines UNION ALL SELECT DISTINCT doc_id, page_idx, 50.0, 400.0, 'Copy ' || doc_id FROM lines),
+    s AS (SELECT doc_id, x0, y0, text, count(*) AS n FROM marked GROUP BY ALL)
     SELECT doc_id, x0, y0, text, n FROM s JOIN p USING (doc_id) WHERE pages > 1 AND n > floor(pages / 2)""")
 def watermarks(spark, sf_dir):
-    l = fx.lines(spark, sf_dir).withColumn("text", F.substring("text", 1, 3))
+    l = fx.lines(spark, sf_dir).select("doc_id", "page_idx", "x0", "y0", "text")
     pages = l.select("doc_id", "page_idx").distinct()
+    l = l.unionByName(pages.select("doc_id", "page_idx", F.lit(50.0).alias("x0"), F.lit(400.0).alias("y0"), F.concat(F.lit("Copy "), F.col("doc_id").cast("string")).alias("text")))
     many = pages.groupBy("doc_id").count().where("count > 1").select("doc_id")
     return dc.watermarks(l.join(many, "doc_id", "left_semi"), pages)
 

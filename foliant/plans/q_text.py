@@ -111,10 +111,10 @@ def text_functions(spark, sf_dir):
     )
 
 
-@query("garbled_share", r"""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '(cid:12)(cid:7) ' || substr(text, 1, 40) ELSE text END AS text FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(text, '\(cid:\d+\)')) AS k, length(regexp_replace(text, '\(cid:\d+\)', '', 'g')) AS r FROM g)
+@query("garbled_share", r"""WITH g AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '(cid:12)(cid:7) ' || text ELSE text END AS text FROM documents), c AS (SELECT doc_id, len(regexp_extract_all(text, '\(cid:\d+\)')) AS k, length(regexp_replace(text, '\(cid:\d+\)', '', 'g')) AS r FROM g)
     SELECT doc_id, round(k / greatest(k + r, 1), 6) AS share, k / greatest(k + r, 1) > 0.05 AS garbled FROM c""")
 def garbled_share(spark, sf_dir):
-    docs = fx.read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("(cid:12)(cid:7) "), F.substring("text", 1, 40))).otherwise(F.col("text")).alias("text"))
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("(cid:12)(cid:7) "), "text")).otherwise(F.col("text")).alias("text"))
     share = t.garbled_share(F.col("text"))
     return docs.select("doc_id", F.round(share, 6).alias("share"), (share > 0.05).alias("garbled"))
 

@@ -56,6 +56,13 @@ def test_translation_keeps_what_fails(spark):
     assert got == {1: ("GOOD", 0), 2: ("bad", 1)}
 
 
-@pytest.mark.parametrize("latex,want", [(r"x ^ { 2 } + y", r"x^{2}+y"), (r"\operatorname { s i n } x", r"\operatorname{s i n}x")])
+@pytest.mark.parametrize("latex,want", [(r"x ^ { 2 } + y", r"x^{2}+y"), (r"\operatorname { s i n } x", r"\operatorname{sin}x"), (r"\mathrm { d } t", r"\mathrm{d}t")])
 def test_latex(spark, latex, want):
     assert spark.createDataFrame([(latex,)], "s string").select(t.tidy_latex(F.col("s"))).first()[0] == want
+
+
+@pytest.mark.parametrize("text", ["a\u0001b see https://x.org/a and https://y.org/b end", "<PH>URL_0</PH> and https://x.org", "no <b>mask</b> $x$ `y` ![i](p.png)", ""])
+def test_masks_come_back(spark, text):
+    masked = translate.mask(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert "https" not in masked.first()["text"] and "<b>" not in masked.first()["text"]
+    assert translate.restore(masked).first()["text"] == text
