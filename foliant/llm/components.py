@@ -63,8 +63,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return ups.unionByName(own).where("a <> b").distinct()
 
 
-#: Nodes under a key up to which all pairs are compared at once, up to which pairs of different components are, and the most keys in common asked for beyond.
-FEW, CROWDED, KEYS_IN_COMMON = 8, 64, 3
+#: Nodes under a key up to which all pairs are compared at once, and up to which pairs of different components are.
+FEW, CROWDED = 8, 64
+#: Rounds in which nodes of keys of more are compared with a few centres, the centres of a key in each, and those of two keys in common.
+ROUNDS, CENTRES, LAST_CENTRES = 2, 2, 4
 
 
 def _apart(placed: DataFrame) -> DataFrame:
@@ -80,6 +82,14 @@ def _across(placed: DataFrame, near: Column) -> DataFrame:
     return found.select(F.col("x.v").alias("a"), F.col("y.v").alias("b"))
 
 
+def _to_centres(placed: DataFrame, near: Column, centres: int, seed: int) -> DataFrame:
+    """Pairs (a, b) of each node and those of its keys' centres, chosen by a hash, that are near and of another component."""
+    chosen = [F.min_by(F.struct(F.col("x").alias("y"), F.col("root").alias("other")), F.xxhash64(F.lit(seed * 64 + i), "x.v")) for i in range(centres)]
+    middle = placed.groupBy("key").agg(F.array_distinct(F.array(*chosen)).alias("ms")).select("key", F.explode("ms").alias("m")).select("key", "m.y", "m.other")
+    found = placed.join(middle, "key").where((F.col("root") != F.col("other")) & near)
+    return found.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b"))
+
+
 def linked_groups(filed: DataFrame, near: Column, similar: Callable[[DataFrame], DataFrame], few: int | None = None, crowded: int | None = None) -> DataFrame:
     """(node, root): the components of links between nodes that share a key, for nodes that have a link.
 
@@ -89,13 +99,16 @@ def linked_groups(filed: DataFrame, near: Column, similar: Callable[[DataFrame],
     gets pairs (a, b) of nodes and gives those that are.
 
     A key of up to `few` nodes has all its pairs compared; the nodes of another are
-    compared with its first and its last one. Near copies of one text are one
+    compared with its first and its last one, and in some rounds those that are not
+    of one component yet with further centres. Near copies of one text are one
     component by then, at a cost in proportion to their number. What is left are
     pairs of different components: all are compared that share a key of up to
-    `crowded` nodes. Under a key of more, nodes are filed anew by that key together
-    with each other key of theirs that some node shares, and once more with a third.
-    So no pair is lost but those that have only crowded keys in common and fewer
-    than two of them; a key that says little is then no reason to compare all.
+    `crowded` nodes. Nodes of a key of more are filed anew by that key together with
+    each other key of theirs that some node shares; of these again all pairs are
+    compared up to `crowded` nodes, and beyond, each node with a few centres. So the
+    work grows with the filings, and no pair is lost but those that have nothing in
+    common but a crowded key, or two with over `crowded` other nodes, and are linked
+    over none of these.
     """
     few, crowded = few or FEW, crowded or CROWDED
     attributes = [c for c in filed.columns if c != "key"]
@@ -107,25 +120,35 @@ def linked_groups(filed: DataFrame, near: Column, similar: Callable[[DataFrame],
     to_ends = many.join(ends, "key").where((F.col("x.v") != F.col("y.v")) & near)
     pairs = pairs.select(F.col("x.v").alias("a"), F.col("y.v").alias("b")).unionByName(to_ends.select(F.least("x.v", "y.v").alias("a"), F.greatest("x.v", "y.v").alias("b")))
     groups = connected_components(similar(materialise(pairs.distinct(), "pairs")))
-    placed = many.join(groups, F.col("x.v") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.v").alias("root"))
-    level = materialise(_apart(placed), "apart")
-    across = _across(level.where(F.col("c") <= crowded), near)
-    level = level.where(F.col("c") > crowded).select("key", "x", "root", F.array("key").alias("keys"))
-    others = shared.select(F.col("x.v").alias("of"), F.col("key").alias("other"))
-    for depth in range(2, KEYS_IN_COMMON + 1):
-        if level.isEmpty():
+    many = many.select("key", "x")
+
+    def apart() -> DataFrame:
+        placed = many.join(groups, F.col("x.v") == F.col("node"), "left").select("key", "x", F.coalesce("root", "x.v").alias("root"))
+        return materialise(_apart(placed), "apart")
+
+    def joined(found: DataFrame) -> DataFrame | None:
+        """groups with the links among pairs found; None if there are none."""
+        found = materialise(found.distinct(), "found")
+        more = None if found.isEmpty() else materialise(similar(found), "more")
+        if more is None or more.isEmpty():
+            return None
+        return connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+
+    level = apart()
+    for seed in range(ROUNDS):
+        after = joined(_to_centres(level.where(F.col("c") > crowded), near, CENTRES, seed))
+        if after is None:
             break
-        finer = level.join(others, F.col("x.v") == F.col("of")).where(~F.array_contains("keys", F.col("other")))
-        finer = finer.select("x", "root", F.sort_array(F.concat("keys", F.array("other"))).alias("keys"))
-        finer = finer.select(F.xxhash64("keys").alias("key"), "x", "root", "keys").distinct()
-        level = materialise(_apart(finer), "finer")
-        last = depth == KEYS_IN_COMMON
-        across = across.unionByName(_across(level if last else level.where(F.col("c") <= crowded), near))
-        level = level.where(F.col("c") > crowded).select("key", "x", "root", "keys")
-    across = materialise(across.distinct(), "across")
-    if across.isEmpty():
-        return groups
-    more = materialise(similar(across), "more")
-    if more.isEmpty():
-        return groups
-    return connected_components(groups.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
+        groups = after
+        level = apart()
+    across = _across(level.where(F.col("c") <= crowded), near)
+    hot = level.where(F.col("c") > crowded).select("key", "x", "root")
+    if not hot.isEmpty():
+        others = shared.select(F.col("x.v").alias("of"), F.col("key").alias("other"))
+        finer = hot.join(others, F.col("x.v") == F.col("of")).where("key <> other")
+        finer = finer.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "x", "root").distinct()
+        finer = materialise(_apart(finer), "finer")
+        across = across.unionByName(_across(finer.where(F.col("c") <= crowded), near))
+        across = across.unionByName(_to_centres(finer.where(F.col("c") > crowded), near, LAST_CENTRES, ROUNDS))
+    last = joined(across)
+    return groups if last is None else last

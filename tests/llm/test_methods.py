@@ -265,7 +265,7 @@ def test_lines_lose_no_link(spark, monkeypatch, few, crowded):
     got = {r["doc_id"] for r in line_dedup.dedup_lines(docs).collect() if r["text"]}
     want = {i for i in roots if roots[i] == i}
     # a pair may be lost that has one key in common, and that a crowded one
-    assert got == want if crowded == 64 else want <= got and len(got) <= len(want) * 1.02
+    assert got == want if crowded == 64 else want <= got and len(got) <= len(want) * 1.1
 
 
 def test_edit_similarity_is_exact(spark):
