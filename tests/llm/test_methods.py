@@ -280,7 +280,7 @@ def test_edit_similarity_is_exact(spark):
 def test_lines_lost_by_keys(spark):
     """Of pairs of lines by edit similarity and kind of edit, the share that the keys bring together."""
     rng = random.Random(5)
-    rows = [r["line"] for r in spark.read.parquet(f"{DIR}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line")).select(F.array_join(line_dedup.line_words(F.col("line")), " ").alias("line")).distinct().collect()]
+    rows = [r["line"] for r in spark.read.parquet(f"{DIR}/documents.parquet").select(F.explode(F.split(line_dedup.normal_form(F.col("text")), "\n")).alias("line")).select(F.trim("line").alias("line")).distinct().collect()]
     rows = sorted(r for r in rows if 6 <= len(r.split()) and len(r) < 400)
     vocabulary, pairs = [w for r in rows for w in r.split()], []
     for line in rng.choices(rows, k=700):
