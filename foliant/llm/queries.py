@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, imatch, langid, license_scan, line_dedup, mixing, packing, quality, simhash, suffix_dedup
+from . import decontaminate, fim, html_extract, imatch, langid, license_scan, line_dedup, mixing, packing, phrases, quality, simhash, suffix_dedup
 from .common import documents
 
 
@@ -69,6 +69,22 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(documents(spark, sf_dir).select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    listed = F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), listed, (F.col("n_hit") > 0).alias("contaminated"), "items", "spans")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fim.transform(documents(spark, sf_dir).select("doc_id", "text"))
+    restored = fim.restore(F.col("output"), F.col("form"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(restored, 256).alias("restored_sha256"))
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_fuzzy_line_dedup": op2_fuzzy_line_dedup,
@@ -80,6 +96,15 @@ QUERIES = {
     "op8_imatch_fingerprints": op8_imatch_fingerprints,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_quality_rules": op10_quality_rules,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_phrase_collocations": op13_phrase_collocations,
 }
 
-ORACLES = {"op1_mix_sources": mixing.ORACLE_SQL, "op10_quality_rules": quality.ORACLE_SQL}
+ORACLES = {
+    "op1_mix_sources": mixing.ORACLE_SQL,
+    "op10_quality_rules": quality.ORACLE_SQL,
+    "op11_decontaminate": decontaminate.ORACLE_SQL,
+    "op12_fill_in_middle": fim.ORACLE_SQL,
+    "op13_phrase_collocations": phrases.ORACLE_SQL,
+}
