@@ -33,14 +33,18 @@ from .common import materialise, ship
 LEAST, WIDEST, TOP = 10, 3, 2000
 #: Share in per cent of a candidate's occurrences within a longer one that drops it.
 WITHIN = 50
-#: Buckets by which phrases of a length are counted: a power of two, a quarter of the words or more, within these bounds. 3 * 2^28 bits are 96 MB at most.
+#: Buckets by which phrases of a length are counted: a power of two, one for each 32 bytes or more, within these bounds. 3 * 2^28 bits are 96 MB at most.
 FEWEST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 28
+#: Bytes of text of one mapper at least, where there are enough for all cores: the more it sees, the fewer phrases are told twice.
+MAPPER = 1 << 26
 #: Entries of an array that make up a row.
 RUN = 1 << 16
 #: Candidates of one hash function, and those that are counted in one pass: 16 bytes each are stored in every worker, and 8 for its count.
 PART, PASS = 1 << 17, 1 << 22
 #: Words that are looked at together, those that a worker knows by number, and the bytes that are taken apart at once.
-WORDS, KNOWN, SLICE = 1 << 22, 1 << 20, 1 << 22
+WORDS, KNOWN, SLICE = 1 << 18, 1 << 18, 1 << 20
+#: Buckets of a length that a task gathers before it counts them, and keys of candidates that it has told and tells no more.
+GATHERED, TOLD = 1 << 22, 1 << 20
 #: Arrays that one task adds up at a level of the tree.
 FAN = 32
 
@@ -113,7 +117,7 @@ def keys_of(ids: np.ndarray, numbers: Numbers, lang: str, widest: int = WIDEST)
 
 def stretches(batches: Iterator[pa.RecordBatch], numbers: Numbers) -> Iterator[tuple[str, np.ndarray, int]]:
     """(lang, ids, own): numbers of words of texts (lang, text); phrases that start at one of the first `own` are told here, what follows completes the last ones."""
-    for batch in batches:
+    for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
         held: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()):
             if text:
@@ -194,10 +198,22 @@ def bucket_bits(texts: DataFrame, buckets: int, least: int) -> np.ndarray:
     top = min(least, 255)
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
+        numbers, held, size = Numbers(), [[] for _ in range(WIDEST)], 0
         for lang, ids, own in stretches(batches, numbers):
             for k, (whole, keys) in enumerate(keys_of(ids, numbers, lang)):
-                at = np.sort((keys[0, :own][whole[:own]] & np.uint64(buckets - 1)).astype(np.uint32))
+                held[k].append((keys[0, :own][whole[:own]] & np.uint64(buckets - 1)).astype(np.uint32))
+            size += own
+            if size >= GATHERED:
+                yield from told(held)
+                size = 0
+        yield from told(held)
+
+    def told(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """Arrays of what was gathered, which is then forgotten."""
+        for k, gathered in enumerate(held):
+            if gathered:
+                at = np.sort(np.concatenate(gathered))
+                gathered.clear()
                 ends, rows = np.searchsorted(at, np.arange(0, buckets + RUN, RUN)), []
                 for run in np.flatnonzero(np.diff(ends)):
                     values = np.bincount(at[ends[run] : ends[run + 1]] - np.uint32(run * RUN), minlength=RUN)
@@ -231,32 +247,60 @@ def passing(found: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray) -> lis
 
 # Pass 2: candidates
 
-CANDIDATE = "lang string, phrase string, k int, hi long, lo long, n long"
-_CANDIDATE = [("lang", pa.string()), ("phrase", pa.string()), ("k", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("n", pa.int64())]
+_TOLD = [("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]
+CANDIDATE = "lang string, phrase string, n long, k int, hi long, lo long"
 
 
 def candidates(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, phrase, k, hi, lo, n), a row for each candidate of k words, with n null, and one for each language, with k = 0 and n, its words."""
+    """(lang, phrase, n, k, hi, lo), a row for each candidate of k words, with n null, and one for each language, with k = 0 and n, its words."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
     def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
+        numbers, known = Numbers(), [np.empty(0, np.uint64) for _ in range(WIDEST)]
         for lang, ids, own in stretches(batches, numbers):
             found = keys_of(ids, numbers, lang)
-            yield _rows([(lang, "", 0, 0, 0, int(found[0][0][:own].sum()))], _CANDIDATE)
+            yield _rows([(lang, "", int(found[0][0][:own].sum()))], _TOLD)
             words = numbers.words
             for k, ((_, keys), good) in enumerate(zip(found, passing(found, shared.value)), 1):
-                at = np.flatnonzero(good[:own])
-                if len(at):
-                    _, first = np.unique(keys[0][at], return_index=True)
-                    at = at[first]
-                    listed = (ids[at[:, None] + np.arange(k)]).tolist()
-                    phrases = [b" ".join([words[i] for i in p]) for p in listed]
-                    columns = [pa.array([lang] * len(at), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.full(len(at), k, np.int32)), *(pa.array(keys[i][at].view(np.int64)) for i in (0, 1)), pa.nulls(len(at), pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, names=[n for n, _ in _CANDIDATE])
-
-    rows = texts.mapInArrow(told, CANDIDATE)
-    return rows.groupBy("lang", "phrase", "k", "hi", "lo").agg(F.sum("n").alias("n"))
+                own_keys, first = np.unique(keys[0][:own][good[:own]], return_index=True)
+                at = np.flatnonzero(good[:own])[first]
+                # A key that was told already needs no second row; which ones are remembered does not matter.
+                place = np.searchsorted(known[k - 1], own_keys)
+                new = np.append(known[k - 1], ~own_keys[-1:])[place] != own_keys
+                at = at[new]
+                known[k - 1] = np.insert(known[k - 1], place[new], own_keys[new]) if len(known[k - 1]) < TOLD else own_keys
+                listed = ids[at[:, None] + np.arange(k)].tolist()
+                phrases = [b" ".join([words[i] for i in p]) for p in listed]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.nulls(len(at), pa.int64())], names=[n for n, _ in _TOLD])
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = Numbers()
+        for batch in batches:
+            k, keys = np.zeros(batch.num_rows, np.int32), np.zeros((2, batch.num_rows), np.uint64)
+            for own, starts, lengths, found in listed_phrases(batch, numbers):
+                k[own] = lengths
+                for length, (_, all_keys) in enumerate(found, 1):
+                    of = np.flatnonzero(lengths == length)
+                    keys[:, own[of]] = all_keys[:, starts[of]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k), *(pa.array(x.view(np.int64)) for x in keys)], names=["lang", "phrase", "n", "k", "hi", "lo"])
+
+    rows = texts.mapInArrow(told, "lang string, phrase string, n long")
+    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).mapInArrow(keyed, CANDIDATE)
+
+
+def listed_phrases(batch: pa.RecordBatch, numbers: Numbers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
+    """For each language of rows (lang, phrase, ...): its rows with words, where each one's phrase starts in a text of all, its words, and keys_of() that text."""
+    if len(numbers) > KNOWN:
+        numbers.reset()
+    langs, phrases = np.array(batch.column(0).to_pylist(), object), batch.column(1).cast(pa.binary()).to_pylist()
+    some = np.array([bool(p) for p in phrases], bool)
+    for lang in sorted(set(langs.tolist())):
+        own = np.flatnonzero((langs == lang) & some)
+        ids = numbers.of(b"\n".join(phrases[i] for i in own))
+        starts = np.append(0, np.flatnonzero(ids == BREAK) + 1)[: len(own)]
+        lengths = np.diff(np.append(starts, len(ids) + 1)) - 1
+        # Lengths that reach beyond the end are asked for by no phrase.
+        yield own, starts, lengths, keys_of(np.append(ids, np.zeros(WIDEST, np.int32)), numbers, lang)
 
 
 # Pass 3: counts by slots
@@ -382,29 +426,20 @@ def read_cuts(rows: DataFrame, slots, counts) -> DataFrame:
     """rows (lang, phrase, k, counts) with the counts of slots added to those of the phrase and, for each cut, of its first part and its rest."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, own_slots, own_counts = Numbers(), slots.value, counts.value
-        own_counts = np.append(own_counts, 0)  # by slot -1
+        numbers, own_slots, own_counts = Numbers(), slots.value, np.append(counts.value, 0)  # the last by slot -1
         for batch in batches:
-            langs, ks = np.array(batch.column(0).to_pylist(), object), batch.column(2).to_numpy()
-            phrases, added = batch.column(1).cast(pa.binary()).to_pylist(), np.zeros((batch.num_rows, 2 * WIDEST - 1), np.int64)
-            for lang in sorted(set(langs.tolist())):
-                own = np.flatnonzero(langs == lang)
-                ids = numbers.of(b"\n".join(phrases[i] for i in own))
-                starts = np.append(0, np.flatnonzero(ids == BREAK) + 1)
-                # Lengths that reach beyond the end are asked for by no phrase.
-                ids = np.append(ids, np.zeros(WIDEST, np.int32))
-                found = [own_counts[own_slots.find(keys)] for _, keys in keys_of(ids, numbers, lang)]
+            added = np.array(batch.column(3).flatten().to_numpy()).reshape(batch.num_rows, -1)
+            for own, starts, lengths, found in listed_phrases(batch, numbers):
+                found = [own_counts[own_slots.find(keys)] for _, keys in found]
                 for k in range(1, WIDEST + 1):
-                    of = np.flatnonzero(ks[own] == k)
-                    at, rows_ = starts[of], own[of]
-                    added[rows_, 0] = found[k - 1][at]
+                    of = np.flatnonzero(lengths == k)
+                    at, of = starts[of], own[of]
+                    added[of, 0] += found[k - 1][at]
                     for cut in range(1, k):
-                        added[rows_, 2 * cut - 1], added[rows_, 2 * cut] = found[cut - 1][at], found[k - cut - 1][at + cut]
-            before = np.array(batch.column(3).to_pylist(), np.int64).reshape(batch.num_rows, -1)
-            total = pa.array(list(before + added), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], total], names=["lang", "phrase", "k", "counts"])
-            if len(numbers) > KNOWN:
-                numbers.reset()
+                        added[of, 2 * cut - 1] += found[cut - 1][at]
+                        added[of, 2 * cut] += found[k - cut - 1][at + cut]
+            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * added.shape[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(ends, pa.array(added.reshape(-1)))], names=["lang", "phrase", "k", "counts"])
 
     return rows.mapInArrow(read, READ)
 
@@ -414,8 +449,10 @@ def frequent(texts: DataFrame, least: int, part: int, pass_: int) -> tuple[DataF
     spark = texts.sparkSession
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = FEWEST_BUCKETS
-    while buckets < MOST_BUCKETS and buckets < size / 24:  # a quarter of words of six bytes
+    while buckets < MOST_BUCKETS and buckets < size / 32:  # about a sixth of the words
         buckets *= 2
+    mappers = max(2 * spark.sparkContext.defaultParallelism, -(-size // MAPPER))
+    texts = texts.coalesce(mappers)
     bits = bucket_bits(texts, buckets, least)
     found = materialise(candidates(texts, bits), "candidates")
     totals = found.where("k = 0").select("lang", "n")
