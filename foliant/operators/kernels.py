@@ -21,21 +21,37 @@ from .detections import PAGE, pairs
 BOX = ["x0", "y0", "x1", "y1"]
 
 
-def _by_page(boxes: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """kernel of each page's boxes. Pages are dealt out and sorted once, and taken from whole batches; one that a batch ends in is held for the next."""
+def by_page(boxes: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
+    """kernel of each page's boxes, None for no rows. Null page keys are a page like others.
+
+    Pages are dealt out and sorted once, and cut from whole batches; the last one of
+    a batch is held until the next shows that it has ended.
+    """
+
+    def cuts(batch: pd.DataFrame) -> np.ndarray:
+        change = np.zeros(len(batch), dtype=bool)
+        for k in PAGE:
+            v, before = batch[k], batch[k].shift()
+            change |= (v.ne(before) & ~(v.isna() & before.isna())).to_numpy()
+        change[:1] = True
+        return np.append(np.flatnonzero(change), len(batch))
+
+    def results(batch: pd.DataFrame, at: np.ndarray):
+        found = [kernel(batch.iloc[a:b]) for a, b in zip(at, at[1:])]
+        found = [f for f in found if f is not None and len(f)]
+        if found:
+            yield pd.concat(found, ignore_index=True)
 
     def run(batches):
         held = None
         for batch in batches:
             batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            if batch.empty:
-                continue
-            last = (batch[PAGE] == batch[PAGE].iloc[-1]).all(axis=1)
-            held, whole = batch[last], batch[~last]
-            if len(whole):
-                yield pd.concat([kernel(page) for _, page in whole.groupby(PAGE, sort=False)], ignore_index=True)
+            at = cuts(batch)
+            if len(batch):
+                held = batch.iloc[at[-2] :]
+                yield from results(batch, at[:-1])
         if held is not None:
-            yield kernel(held)
+            yield from results(held, np.array([0, len(held)]))
 
     return boxes.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInPandas(run, schema)
 
@@ -115,7 +131,7 @@ def separate(boxes: DataFrame) -> DataFrame:
         page[BOX] = b
         return page.loc[alive, [*PAGE, "ord", *BOX]]
 
-    return _by_page(boxes, kernel, "doc_id long, page_idx int, ord int, x0 double, y0 double, x1 double, y1 double")
+    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, x0 double, y0 double, x1 double, y1 double")
 
 
 def assign_captions(candidates: DataFrame) -> DataFrame:
@@ -151,7 +167,7 @@ def reading_order(boxes: DataFrame) -> DataFrame:
         page["place"] = range(1, len(page) + 1)
         return page[[*PAGE, "ord", "depth_x", "depth_y", "place"]]
 
-    return _by_page(boxes, kernel, "doc_id long, page_idx int, ord int, depth_x int, depth_y int, place int")
+    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, depth_x int, depth_y int, place int")
 
 
 def xy_cut(boxes: DataFrame) -> DataFrame:
@@ -186,7 +202,7 @@ def xy_cut(boxes: DataFrame) -> DataFrame:
         out["layout"], out["label"] = [n for _, n, _ in rows], [label for _, _, label in rows]
         return out
 
-    return _by_page(boxes, kernel, "doc_id long, page_idx int, ord int, layout int, label string")
+    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, layout int, label string")
 
 
 def sort_text_boxes(boxes: DataFrame, band: float = 10.0) -> DataFrame:
@@ -224,7 +240,7 @@ def touching_groups(boxes: DataFrame) -> DataFrame:
             label = new
         return page[[*PAGE, "ord"]].assign(grp=page["ord"].to_numpy()[label])
 
-    return _by_page(boxes, kernel, "doc_id long, page_idx int, ord int, grp int")
+    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, grp int")
 
 
 def analyse_pages(pages: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
