@@ -6,6 +6,8 @@ documents and images from lineitem, by whole-number arithmetic.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -91,3 +93,47 @@ def page_images(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 IMAGES_SQL = """images AS (
     SELECT doc_id, page_idx, ord, CAST(x0 % 37 AS INT) AS objid, x0, y0, x1, y1 FROM dets WHERE category_id IN (3, 5, 13))"""
+
+
+def spans_with_chars(spark: SparkSession, sf_dir: str, wide: int = 12) -> DataFrame:
+    """(doc_id, page_idx, block_no, line_no, span_no, block_box, line_box, box, chars): lines of documents in spans of `wide` characters, four lines a block."""
+    corners = lambda *c: F.struct(*[x.alias(n) for x, n in zip(c, ("x0", "y0", "x1", "y1"))])
+    lns = lines(spark, sf_dir).where("text <> ''").withColumn("block_no", F.floor(F.col("line_no") % 8 / 4).cast("int"))
+    # A page's characters weigh far more than its text, so pages are dealt to all cores first.
+    lns = lns.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id", "page_idx")
+    block = Window.partitionBy("doc_id", "page_idx", "block_no")
+    lns = lns.withColumn("block_box", corners(F.min("x0").over(block), F.min("y0").over(block), F.max("x1").over(block), F.max("y1").over(block)))
+
+    def cut(batches):
+        for batch in batches:
+            texts, (left, top, right, bottom) = batch.column("text").to_pylist(), (batch.column(c).to_numpy() for c in ("x0", "y0", "x1", "y1"))
+            sizes = np.array([len(t) for t in texts])
+            row = np.repeat(np.arange(len(texts)), sizes)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            x = [left[row] + (nth + k) * (right - left)[row] / sizes[row] for k in (0, 1)]
+            starts = np.append(np.flatnonzero(nth % wide == 0), len(row)).astype(np.int32)
+            at = row[starts[:-1]]
+            chars = pa.StructArray.from_arrays([pa.array([c for t in texts for c in t], pa.string()), *map(pa.array, (x[0], top[row], x[1], bottom[row]))], ["c", "x0", "y0", "x1", "y1"])
+            box = [x[0][starts[:-1]], top[at], x[1][starts[1:] - 1], bottom[at]]
+            line = [left[at], top[at], right[at], bottom[at]]
+            structs = [pa.StructArray.from_arrays([pa.array(v) for v in b], ["x0", "y0", "x1", "y1"]) for b in (line, box)]
+            keys = [batch.column(k).take(pa.array(at)) for k in ("doc_id", "page_idx", "block_no", "line_no")]
+            spans = [pa.array((nth[starts[:-1]] // wide).astype(np.int32)), batch.column("block_box").take(pa.array(at)), *structs, pa.ListArray.from_arrays(pa.array(starts), chars)]
+            yield pa.RecordBatch.from_arrays([*keys, *spans], names=["doc_id", "page_idx", "block_no", "line_no", "span_no", "block_box", "line_box", "box", "chars"])
+
+    box = "struct<x0: double, y0: double, x1: double, y1: double>"
+    schema = f"doc_id long, page_idx int, block_no int, line_no int, span_no int, block_box {box}, line_box {box}, box {box}, chars array<struct<c: string, x0: double, y0: double, x1: double, y1: double>>"
+    return lns.mapInArrow(cut, schema)
+
+
+def inline_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_idx, ord, latex, x0, y0, x1, y1): up to three formulas over the characters of each line, some between two lines or beyond its end."""
+    lns = lines(spark, sf_dir).where("text <> ''")
+    w = (F.col("x1") - F.col("x0")) / F.char_length("text")
+    spot = lambda n, start, end, down: F.struct(F.lit(n).alias("n"), F.lit(start).alias("start"), F.lit(end).alias("end"), F.lit(down).alias("down"))
+    spots = F.array(spot(0, 5.3, 9.6, 1.0), spot(1, 10.2, 14.8, 0.0), spot(2, 17.45, 40.0, 7.0))
+    rows = lns.select("*", F.explode(F.slice(spots, (F.col("line_no") % 3 + 1).cast("int"), F.lit(2))).alias("s"))
+    return rows.select(
+        "doc_id", "page_idx", (F.col("line_no") * 3 + F.col("s.n")).cast("int").alias("ord"), F.concat(F.lit("x_{"), "line_no", F.lit("}")).alias("latex"),
+        (F.col("x0") + F.col("s.start") * w).alias("x0"), (F.col("y0") + F.col("s.down")).alias("y0"), (F.col("x0") + F.col("s.end") * w).alias("x1"), (F.col("y1") + F.col("s.down")).alias("y1"),
+    )
