@@ -72,24 +72,31 @@ def is_white(colour: Column) -> Column:
     return colour == 0xFFFFFF
 
 
-#: Times the rules between tokens are gone through; each looks at every place anew.
-LATEX_PASSES = 8
-OPERATOR = r"\\(?:operatorname|mathrm|text|mathbf)\s*\*?\s*\{[^{}]*\}"
+#: Groups that lose their spaces, and the characters beside which spaces go: all but letters and numerals other than digits.
+OPERATOR = r"\\(?:operatorname|mathrm|text|mathbf)\s?\*? \{.*?\}"
+NO_LETTER = r"[^\p{L}\p{Nl}\p{No}]"
 
 
-def tidy_latex(text: Column, passes: int = LATEX_PASSES) -> Column:
-    """LaTeX without the spaces that a recogniser leaves between tokens; a space after a command stays before a letter.
+def tidy_latex(text: Column) -> Column:
+    r"""LaTeX without the spaces that a recogniser leaves between tokens.
 
-    A group that names an operator or a font loses all its spaces. Between other
-    tokens a pass removes every space that stands alone between two of them, so a
-    second pass finds those that the first had to skip; the rest are to spare.
+    A group that names an operator or a font loses its spaces, if one stands before
+    its brace. Then white space goes that is between two of the characters of
+    NO_LETTER, or between one and an ASCII letter, but for the space of `\ `. White
+    space counts as such a character itself, so that of a longer run one is left
+    between letters, and two between other letters.
+
+    This is what the rules come to when they are gone through until nothing changes:
+    runs, but for a first space after a backslash, are first cut to two, which leaves as much, and places are looked at without
+    taking up the character after them, so a pass settles every one of its run; the
+    second pass settles runs of two, the third what a settled run was beside.
     """
-    groups = F.regexp_extract_all(text, F.lit(OPERATOR), F.lit(0))
-    pieces = F.split(text, OPERATOR)
-    text = F.array_join(F.zip_with(pieces, groups, lambda p, x: F.concat(p, F.coalesce(F.regexp_replace(x, r"\s+", ""), F.lit("")))), "")
-    for _ in range(passes):
-        text = F.regexp_replace(text, r"(?<!\\[A-Za-z]{0,20})([^A-Za-z\s])\s+(?=\S)", "$1")
-        text = F.regexp_replace(text, r"(\S)\s+(?=[^A-Za-z\s])", "$1")
+    groups, pieces = F.regexp_extract_all(text, F.lit(OPERATOR), F.lit(0)), F.split(text, OPERATOR, -1)
+    text = F.array_join(F.zip_with(pieces, groups, lambda p, x: F.concat(p, F.coalesce(F.replace(x, F.lit(" "), F.lit("")), F.lit("")))), "")
+    text = F.regexp_replace(text, r"(?U)(?<!\\)(\s)\s+(\s)", "$1$2")
+    for _ in range(3):
+        for before, after in ((rf"(?!\\ )({NO_LETTER})", NO_LETTER), (rf"(?!\\ )({NO_LETTER})", "[a-zA-Z]"), ("([a-zA-Z])", NO_LETTER)):
+            text = F.regexp_replace(text, rf"(?U){before}\s+?(?={after})", "$1")
     return text
 
 

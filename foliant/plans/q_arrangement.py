@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..operators import inline, segment, tying
 from ..operators import detections as d
 from ..sources import fixtures as fx
@@ -65,3 +66,19 @@ def long_words_split(spark, sf_dir):
     lexicon = segment.ranked_lexicon(docs, LEXICON)
     n = F.size(F.filter(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)), lambda w: F.char_length(w) > segment.LONGEST)).cast("long")
     return docs.select("doc_id", segment.words_split(spark, F.col("text"), lexicon).alias("text"), n.alias("n_split"))
+
+
+#: What formulas have that documents do not: groups, control spaces and runs of spaces.
+LATEX_HEAD, LATEX_TAIL = r"\operatorname * { a r g } _ { x  ,  2 } \mathrm { d } x \, y = \ A ^ 3 ", r" \ \text{ a b }  z"
+
+LATEX_SQL = rf"""WITH RECURSIVE f AS (SELECT doc_id, '\operatorname*{{arg}} _ {{ x  ,  2 }} \mathrm{{d}} x \, y = ' || chr(1) || 'A ^ 3 ' || replace(text, '\ ', chr(1)) || ' ' || chr(1) || '\text{{ a b }}  z' AS s FROM documents),
+    r AS (SELECT doc_id, 0 AS n, s, false AS done FROM f UNION ALL SELECT doc_id, n + 1, new, new = s FROM (
+        SELECT doc_id, n, s, regexp_replace(regexp_replace(regexp_replace(s, '({t.NO_LETTER})\s+?({t.NO_LETTER})', '\1\2', 'g'), '({t.NO_LETTER})\s+?([a-zA-Z])', '\1\2', 'g'), '([a-zA-Z])\s+?({t.NO_LETTER})', '\1\2', 'g') AS new
+        FROM r WHERE NOT done))
+    SELECT doc_id, replace(s, chr(1), '\ ') AS latex FROM r WHERE done"""
+
+
+@query("latex_tidied", LATEX_SQL)
+def latex_tidied(spark, sf_dir):
+    docs = fx.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", t.tidy_latex(F.concat(F.lit(LATEX_HEAD), "text", F.lit(LATEX_TAIL))).alias("latex"))

@@ -66,3 +66,26 @@ def test_masks_come_back(spark, text):
     masked = translate.mask(spark.createDataFrame([(1, text)], "doc_id long, text string"))
     assert "https" not in masked.first()["text"] and "<b>" not in masked.first()["text"]
     assert translate.restore(masked).first()["text"] == text
+
+
+def test_latex_against_rules_gone_through_until_nothing_changes(spark):
+    import random
+    import re
+
+    def plain(s):
+        group, other = r"(\\(?:operatorname|mathrm|text|mathbf)\s?\*? {.*?})", r"[\W_^\d]"
+        s = re.sub(group, lambda m: m[0].replace(" ", ""), s)
+        while True:
+            before = s
+            for left, right in ((rf"(?!\\ )({other})", f"({other})"), (rf"(?!\\ )({other})", "([a-zA-Z])"), ("([a-zA-Z])", f"({other})")):
+                s = re.sub(left + r"\s+?" + right, r"\1\2", s)
+            if s == before:
+                return s
+
+    rng = random.Random(1)
+    parts = ["\\", " ", " ", " ", "a", "B", "1", "_", "^", "{", "}", ",", "é", "中", "\\mathrm {", "\\text", "\t", "\\, ", "\\ ", "   "]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(16))) for _ in range(3000)] + [r"\ A", r"\mathrm { d } x \, y", "", " . " * 50, "a" + " " * 99 + "b"]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in texts], "s string").coalesce(1).select(t.tidy_latex(F.col("s"))).collect()]
+    wrong = [(s, g, plain(s)) for s, g in zip(texts, got) if g != plain(s)]
+    assert not wrong, wrong[:5]
+    assert plain(r"\ A") == r"\ A" and plain(r"\mathrm { d } x \, y") == r"\mathrm{d}x\,y"
