@@ -35,17 +35,123 @@ SPLIT_SQL = f"""WITH RECURSIVE lex AS (
     FROM tokens LEFT JOIN made ON made.tok = tokens.tok GROUP BY doc_id"""
 
 
-@query("images_with_captions")
+def _apart(a: str, b: str) -> tuple[str, str]:
+    return f"greatest(0, {b}.x0 - {a}.x1, {a}.x0 - {b}.x1)", f"greatest(0, {b}.y0 - {a}.y1, {a}.y0 - {b}.y1)"
+
+
+def _distance(a: str, b: str) -> str:
+    x, y = _apart(a, b)
+    return f"sqrt(power({x}, 2) + power({y}, 2))"
+
+
+def _around(boxes: str) -> str:
+    """SQL for the box around a list of boxes, null for none."""
+    ends = ", ".join(f"'{c}': list_{f}(list_transform({boxes}, lambda q: q.{c}))" for c, f in (("x0", "min"), ("y0", "min"), ("x1", "max"), ("y1", "max")))
+    return f"CASE WHEN len({boxes}) > 0 THEN {{{ends}}} END"
+
+
+def _tied_sql(subject: int, kind: int, name: str) -> str:
+    """SQL for CTEs up to {name} (page keys, ord, score, body, kept): bodies with the list of what is tied to them, body by body in a recursion."""
+    box = "{'k': k, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}"
+    outermost = "NOT EXISTS (SELECT 1 FROM dets b WHERE b.doc_id = a.doc_id AND b.page_idx = a.page_idx AND b.category_id = a.category_id AND b.ord <> a.ord AND a.x0 >= b.x0 AND a.y0 >= b.y0 AND a.x1 <= b.x1 AND a.y1 <= b.y1)"
+    x, y = _apart("s", "o")
+    around = {"x0": "least(s.x0, o.x0)", "y0": "least(s.y0, o.y0)", "x1": "greatest(s.x1, o.x1)", "y1": "greatest(s.y1, o.y1)"}
+    u, size = {k: f"({v})" for k, v in around.items()}, "abs({0}.x1 - {0}.x0) * abs({0}.y1 - {0}.y0)"
+    meets = f"t.x0 <= {u['x1']} AND t.x1 >= {u['x0']} AND t.y0 <= {u['y1']} AND t.y1 >= {u['y0']}"
+    holds = f"{u['x0']} >= t.x0 AND {u['y0']} >= t.y0 AND {u['x1']} <= t.x1 AND {u['y1']} <= t.y1"
+    held = f"t.x0 >= {u['x0']} AND t.y0 >= {u['y0']} AND t.x1 <= {u['x1']} AND t.y1 <= {u['y1']}"
+    grown = {"x0": "min", "y0": "min", "x1": "max", "y1": "max"}
+    ends = {c: f"{'least' if f == 'min' else 'greatest'}(list_{f}(list_transform(acc, lambda q: q.{c})), o[1].{c})" for c, f in grown.items()}
+    far = f"sqrt(power(greatest(0, {ends['x0']} - sx1, sx0 - {ends['x1']}), 2) + power(greatest(0, {ends['y0']} - sy1, sy0 - {ends['y1']}), 2))"
+    xo, yo = _apart("acc[1]", "o[1]")
+    whole = {c: f"{'least' if f == 'min' else 'greatest'}(list_{f}(list_transform(seen, lambda q: q.{c})), s{c})" for c, f in grown.items()}
+    regions = (("wx0", "wy0", "sx0", "wy1"), ("wx0", "wy0", "wx1", "sy0"), ("wx0", "sy1", "wx1", "wy1"), ("sx1", "wy0", "wx1", "wy1"))
+    on = lambda r: f"""list_filter(seen, lambda q: (q.x1 - q.x0) * (q.y1 - q.y0) <> 0 AND least(q.x1, {r[2]}) >= greatest(q.x0, {r[0]}) AND least(q.y1, {r[3]}) >= greatest(q.y0, {r[1]})
+        AND (least(q.x1, {r[2]}) - greatest(q.x0, {r[0]})) * (least(q.y1, {r[3]}) - greatest(q.y0, {r[1]})) / ((q.x1 - q.x0) * (q.y1 - q.y0)) > 0.6)"""
+    room = lambda side: f"CASE WHEN len({side}) = 0 THEN 0 ELSE trunc((list_max(list_transform({side}, lambda q: q.x1)) - list_min(list_transform({side}, lambda q: q.x0))) * (list_max(list_transform({side}, lambda q: q.y1)) - list_min(list_transform({side}, lambda q: q.y0)))) END"
+    return f"""{name}_s AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY x0 * x0 + y0 * y0, ord) AS n FROM dets a WHERE category_id = {subject} AND {outermost}),
+    {name}_o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY ord) AS k FROM dets a WHERE category_id = {kind} AND {outermost}),
+    {name}_all AS MATERIALIZED (SELECT doc_id, page_idx, list({box} ORDER BY k) AS objs FROM {name}_o GROUP BY ALL),
+    {name}_d AS MATERIALIZED (SELECT s.doc_id, s.page_idx, s.n, o.k, {_distance("s", "o")} AS d, NOT ({x} > 0 AND {y} > 0) AND {_distance("s", "o")} <= CASE WHEN {x} > 0 THEN s.x1 - s.x0 ELSE s.y1 - s.y0 END AS near
+        FROM {name}_s s JOIN {name}_o o USING (doc_id, page_idx)),
+    {name}_r AS (SELECT s.doc_id, s.page_idx, s.n, o.k, max(t.n) AS rival FROM {name}_s s JOIN {name}_o o USING (doc_id, page_idx) JOIN {name}_s t ON t.doc_id = s.doc_id AND t.page_idx = s.page_idx AND t.n <> s.n
+        AND (({meets} AND NOT ({holds})) OR ({held})) AND {size.format("t")} >= {size.format("o")} GROUP BY ALL),
+    {name}_c AS MATERIALIZED (SELECT d.doc_id, d.page_idx, d.n, list({{'d': d.d, 'k': d.k, 'ok': r.rival IS NULL OR e.d >= d.d}} ORDER BY d.d, d.k) FILTER (d.near) AS cands
+        FROM {name}_d d LEFT JOIN {name}_r r ON r.doc_id = d.doc_id AND r.page_idx = d.page_idx AND r.n = d.n AND r.k = d.k
+        LEFT JOIN {name}_d e ON e.doc_id = d.doc_id AND e.page_idx = d.page_idx AND e.n = r.rival AND e.k = d.k GROUP BY ALL),
+    {name}_l AS MATERIALIZED (SELECT doc_id, page_idx, n, list(least_d ORDER BY k) AS later FROM (
+        SELECT doc_id, page_idx, n, k, coalesce(min(d) OVER (PARTITION BY doc_id, page_idx, k ORDER BY n ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 'inf'::DOUBLE) AS least_d FROM {name}_d) GROUP BY ALL),
+    {name}_b AS MATERIALIZED (SELECT s.doc_id, s.page_idx, s.n, s.ord, s.score, s.x0 AS sx0, s.y0 AS sy0, s.x1 AS sx1, s.y1 AS sy1, coalesce(objs, []) AS objs, coalesce(cands, []) AS cands, coalesce(later, []) AS later
+        FROM {name}_s s LEFT JOIN {name}_all USING (doc_id, page_idx) LEFT JOIN {name}_c USING (doc_id, page_idx, n) LEFT JOIN {name}_l USING (doc_id, page_idx, n)),
+    {name}_rec(doc_id, page_idx, n, used, kept) AS (
+        SELECT DISTINCT doc_id, page_idx, 0::BIGINT, []::BIGINT[], []::STRUCT(k BIGINT, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE)[] FROM {name}_s
+        UNION ALL SELECT doc_id, page_idx, n, list_concat(used, list_transform(side, lambda q: q.k)), side FROM (
+            SELECT doc_id, page_idx, n, used, CASE WHEN greatest(r1, r2, r3, r4) = 0 THEN [] WHEN r1 >= greatest(r2, r3, r4) THEN l1 WHEN r2 >= greatest(r3, r4) THEN l2 WHEN r3 >= r4 THEN l3 ELSE l4 END AS side FROM (
+            SELECT *, {room("l1")} AS r1, {room("l2")} AS r2, {room("l3")} AS r3, {room("l4")} AS r4 FROM (
+            SELECT *, {", ".join(f"{on(r)} AS l{i}" for i, r in enumerate(regions, 1))} FROM (
+            SELECT *, {", ".join(f"coalesce({whole[c]}, s{c}) AS w{c}" for c in grown)} FROM (
+            SELECT *, CASE WHEN seed IS NULL OR NOT seed.ok THEN [] ELSE list_reduce(list_concat([[objs[seed.k]]], list_transform(list_filter(objs, lambda o: o.k <> seed.k AND NOT list_contains(used, o.k)), lambda o: [o])), lambda acc, o:
+                CASE WHEN NOT ({xo} > 0 AND {yo} > 0) AND {_distance("acc[1]", "o[1]")} <= seed.d AND later[o[1].k] - {_distance("acc[1]", "o[1]")} > 0.0001
+                    AND len(list_filter(objs, lambda l: l.k <> o[1].k AND NOT list_contains(used, l.k) AND NOT list_contains(list_transform(acc, lambda q: q.k), l.k) AND {_distance("l", "o[1]")} - {_distance("acc[1]", "o[1]")} <= 0.0001)) = 0
+                    AND NOT seed.d - {far} > 0.0001 THEN list_concat(acc, o) ELSE acc END) END AS seen FROM (
+            SELECT b.*, r.used, list_filter(cands, lambda c: NOT list_contains(r.used, c.k))[1] AS seed FROM {name}_rec r JOIN {name}_b b ON b.doc_id = r.doc_id AND b.page_idx = r.page_idx AND b.n = r.n + 1))))))),
+    {name} AS (SELECT b.doc_id, b.page_idx, b.ord, b.score, {{'x0': sx0, 'y0': sy0, 'x1': sx1, 'y1': sy1}} AS body, {_around("kept")} AS other FROM {name}_rec r JOIN {name}_b b ON b.doc_id = r.doc_id AND b.page_idx = r.page_idx AND b.n = r.n)"""
+
+
+CORNERS = ("x0", "y0", "x1", "y1")
+
+
+def _corners(name: str, *boxes: str) -> str:
+    """SQL for four columns of the box around some that may be null."""
+    ends = [f"{'least' if c.endswith('0') else 'greatest'}({', '.join(f'{b}.{c}' for b in boxes)})" if boxes[1:] else f"{boxes[0]}.{c}" for c in CORNERS]
+    return ", ".join(f"{e} AS {name}_{c}" for e, c in zip(ends, CORNERS))
+
+
+def _flat(df, *names: str):
+    """df with four columns for each of its boxes."""
+    return df.select(*d.PAGE, "ord", "score", *[F.col(n)[i].alias(f"{n}_{c}") for n in names for i, c in enumerate(CORNERS)])
+
+
+_DETS = f"WITH RECURSIVE {fx.detections_sql()}"
+
+
+@query("images_with_captions", f"""{_DETS}, {_tied_sql(3, 4, "c")}
+    SELECT doc_id, page_idx, ord, score, {_corners("body", "body")}, {_corners("caption_box", "other")}, {_corners("box", "body", "other")} FROM c""")
 def images_with_captions(spark, sf_dir):
-    return tying.images_with_captions(fx.detections(spark, sf_dir))
+    return _flat(tying.images_with_captions(fx.detections(spark, sf_dir)), "body", "caption_box", "box")
 
 
-@query("tables_with_captions")
+@query("tables_with_captions", f"""{_DETS}, {_tied_sql(5, 6, "c")}, {_tied_sql(5, 7, "f")}
+    SELECT doc_id, page_idx, ord, c.score, {_corners("body", "c.body")}, {_corners("caption_box", "c.other")}, {_corners("note_box", "f.other")}, {_corners("box", "c.body", "c.other", "f.other")} FROM c JOIN f USING (doc_id, page_idx, ord)""")
 def tables_with_captions(spark, sf_dir):
-    return tying.tables_with_captions(fx.detections(spark, sf_dir))
+    return _flat(tying.tables_with_captions(fx.detections(spark, sf_dir)), "body", "caption_box", "note_box", "box")
 
 
-@query("layouts_pushed_apart")
+_PUSH = """list_transform(acc, lambda q: CASE WHEN q.k <> {big} THEN q ELSE {{'k': q.k,
+        'x0': CASE WHEN {across} AND {dx} > 0 AND q.x0 < acc[{small}].x1 THEN acc[{small}].x1 + 1 ELSE q.x0 END, 'y0': CASE WHEN NOT {across} AND {dy} > 0 AND q.y0 < acc[{small}].y1 THEN acc[{small}].y1 + 1 ELSE q.y0 END,
+        'x1': CASE WHEN {across} AND {dx} < 0 AND q.x1 > acc[{small}].x0 THEN acc[{small}].x0 - 1 ELSE q.x1 END, 'y1': CASE WHEN NOT {across} AND {dy} < 0 AND q.y1 > acc[{small}].y0 THEN acc[{small}].y0 - 1 ELSE q.y1 END}} END)"""
+
+
+def _push(big: str, small: str) -> str:
+    dx, dy = (f"((acc[{big}].{c}0 + acc[{big}].{c}1) / 2 - (acc[{small}].{c}0 + acc[{small}].{c}1) / 2)" for c in "xy")
+    return _PUSH.format(big=big, small=small, dx=dx, dy=dy, across=f"(abs({dx}) > abs({dy}))")
+
+
+_I, _J = "p[1].i", "p[1].j"
+_AREA = "(acc[{0}].x1 - acc[{0}].x0) * (acc[{0}].y1 - acc[{0}].y0)"
+_MEET = "acc[{0}].x0 <= acc[{1}].x1 AND acc[{1}].x0 <= acc[{0}].x1 AND acc[{0}].y0 <= acc[{1}].y1 AND acc[{1}].y0 <= acc[{0}].y1 AND NOT (acc[{0}].x0 >= acc[{1}].x0 AND acc[{0}].y0 >= acc[{1}].y0 AND acc[{0}].x1 <= acc[{1}].x1 AND acc[{0}].y1 <= acc[{1}].y1)".format(_I, _J)
+
+PUSHED_SQL = f"""{_DETS}, b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY ord) AS k FROM dets a WHERE category_id IN (0, 1)
+        AND NOT EXISTS (SELECT 1 FROM dets o WHERE o.doc_id = a.doc_id AND o.page_idx = a.page_idx AND o.category_id IN (0, 1) AND o.ord <> a.ord AND a.x0 >= o.x0 AND a.y0 >= o.y0 AND a.x1 <= o.x1 AND a.y1 <= o.y1)),
+    pages AS (SELECT doc_id, page_idx, list(ord ORDER BY k) AS ords, list({{'k': k, 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1}} ORDER BY k) AS boxes FROM b GROUP BY ALL),
+    met AS (SELECT a.doc_id, a.page_idx, list({{'i': a.k, 'j': b.k}} ORDER BY a.k, b.k) AS pairs FROM b a JOIN b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND a.k < b.k GROUP BY ALL),
+    steps(doc_id, page_idx, ords, pairs, n, acc) AS (SELECT doc_id, page_idx, ords, coalesce(pairs, []), 0, boxes FROM pages LEFT JOIN met USING (doc_id, page_idx)
+        UNION ALL SELECT doc_id, page_idx, ords, pairs, n + 1, CASE WHEN NOT ({_MEET}) THEN acc WHEN {_AREA.format(_I)} > {_AREA.format(_J)} THEN {_push(_I, _J)} ELSE {_push(_J, _I)} END
+        FROM (SELECT *, [pairs[n + 1]] AS p FROM steps WHERE n < len(pairs)))
+    SELECT doc_id, page_idx, ord, x.x0 AS x0, x.y0 AS y0, x.x1 AS x1, x.y1 AS y1 FROM (SELECT doc_id, page_idx, unnest(ords) AS ord, unnest(acc) AS x FROM steps WHERE n = len(pairs))"""
+
+
+@query("layouts_pushed_apart", PUSHED_SQL)
 def layouts_pushed_apart(spark, sf_dir):
     return tying.pushed_apart(d.by_category(fx.detections(spark, sf_dir), 0, 1))
 

@@ -119,7 +119,7 @@ def garbled_share(spark, sf_dir):
     return docs.select("doc_id", F.round(share, 6).alias("share"), (share > 0.05).alias("garbled"))
 
 
-@query("long_words")
+@query("long_words", r"SELECT doc_id, unnest(list_filter(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: length(w) >= 16)) AS word FROM documents")
 def long_words(spark, sf_dir):
     return fx.read(spark, sf_dir, "documents").select("doc_id", F.explode(t.long_words(F.col("text"))).alias("word"))
 
