@@ -17,7 +17,7 @@ DIR = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "labels"):
+    for t in ("documents", "labels", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     key = lambda row: tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in row)
     got = QUERIES[name](spark, DIR)
