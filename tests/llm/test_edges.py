@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import html_extract, imatch, langid, license_scan, line_dedup, mixing, packing, quality, simhash, suffix_dedup
+from foliant.llm import decontaminate, fim, html_extract, imatch, langid, license_scan, line_dedup, mixing, packing, phrases, quality, simhash, suffix_dedup
 from foliant.llm.queries import tokenizer_path
 
 LONG = " ".join(f"w{i % 977}" for i in range(20_000))
@@ -22,7 +22,7 @@ ROWS = [
     (8, "Licensed under the Apache License, Version 2.0.", "en", "a"),
     (9, "中文 \U0001f600 x", None, "d"),
 ]
-CLASHES = ["row", "size", "fp", "draw", "target", "lines", "flags", "flag_id", "part", "tie", "copy", "slot", "epochs", "kept", "component_id", "stratum", "cutoffs", "spans", "words", "plan_source", "n_removed"]
+CLASHES = ["h1", "k1", "text_", "id", "cuts", "form", "items", "n", "rank", "row", "size", "fp", "draw", "target", "lines", "flags", "flag_id", "part", "tie", "copy", "slot", "epochs", "kept", "component_id", "stratum", "cutoffs", "spans", "words", "plan_source", "n_removed"]
 
 
 def table(spark, rows=ROWS):
@@ -38,7 +38,16 @@ def packed(spark, docs):
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
+def items(spark):
+    return spark.createDataFrame([(1, TEXT[20:90]), (2, None), (None, "a b a"), (3, "")], "item_id long, text string")
+
+
 OPERATORS = {
+    "decontaminate": lambda s, d: decontaminate.scan(d, items(s)),
+    "decontaminate_blocks": lambda s, d: decontaminate.scan(d, items(s), most=1),
+    "fim": lambda s, d: fim.transform(d),
+    "fim_chunks": lambda s, d: fim.transform(d, 64),
+    "phrases": lambda s, d: phrases.collocations(d, 2),
     "mix": lambda s, d: mixing.mix(d),
     "repeat": lambda s, d: mixing.repeat(d),
     "lines": lambda s, d: line_dedup.dedup_lines(d),
@@ -53,7 +62,7 @@ OPERATORS = {
     "keep_good": lambda s, d: quality.keep_good(d, labels(s)),
     "html": lambda s, d: html_extract.extract(d.select(F.col("doc_id").alias("page_id"), F.lit("u").alias("url"), F.col("text").alias("html"), "row")),
 }
-ONE_PER_ROW = {"mix", "lines", "simhash", "lang", "imatch", "suffix", "quality", "html"}
+ONE_PER_ROW = {"decontaminate", "decontaminate_blocks", "fim", "fim_chunks", "mix", "lines", "simhash", "lang", "imatch", "suffix", "quality", "html"}
 
 
 @pytest.mark.parametrize("name", sorted(OPERATORS))
