@@ -206,20 +206,38 @@ def test_alignment_against_longest_common_subsequences():
 
 
 def edits(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        last, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
-    return row[-1]
+    """Edit distance of a and b, by one bit for each character of a and step of its column."""
+    at = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    full, top = (1 << len(a)) - 1, 1 << max(len(a) - 1, 0)
+    up, down, distance = full, 0, len(a)
+    for y in b if a else ():
+        same = at.get(y, 0)
+        across = (((same & up) + up) ^ up) | same
+        more, less = (down | ~(across | up)) & full, up & across
+        distance += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, (less << 1) & full
+        up, down = (less | ~((same | down) | more)) & full, more & (same | down)
+    return distance if a else len(b)
+
+
+def test_edits_are_those_of_the_table():
+    rng = random.Random(9)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(9))) for _ in range(2))
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert edits(a, b) == row[-1], (a, b)
 
 
 def alike(a, b):
-    """Edit similarity of 0.8 by characters, of lines that do not differ in most words."""
-    if max(len(a), len(b)) > line_dedup.LONG:
-        return edits(a.split(), b.split()) <= max(len(a.split()), len(b.split())) * 0.2 + 1e-9
+    """Edit similarity of 0.8 by characters, and nothing else."""
     most = int(max(len(a), len(b)) * 0.2 + 1e-9)
-    return 3 * edits(a.split(), b.split()) <= most and edits(a, b) <= most
+    return abs(len(a) - len(b)) <= most and edits(a, b) <= most
 
 
 def components_of(nodes, linked):
@@ -238,6 +256,15 @@ def components_of(nodes, linked):
     return {x: find(x) for x in nodes}
 
 
+def typos(rng, line, share):
+    """line with a share of its characters left out, replaced or put in."""
+    line = list(line)
+    for _ in range(max(1, int(len(line) * share))):
+        i = rng.randrange(len(line))
+        line[i : i + 1] = rng.choice([[], [rng.choice("abcdefghijklmno")], [line[i], rng.choice("abcdefghijklmno")]])
+    return " ".join("".join(line).split())
+
+
 def varied_lines(rng, sizes, copies, most):
     vocabulary = ["".join(rng.choices("abcdefghijklmno", k=rng.choice([2, 3, 5, 7, 9]))) for _ in range(400)]
     lines = []
@@ -255,7 +282,7 @@ def varied_lines(rng, sizes, copies, most):
 
 @pytest.mark.parametrize(("few", "crowded"), [(8, 64), (2, 3)])
 def test_lines_lose_no_link(spark, monkeypatch, few, crowded):
-    """By the defaults the lines that stay are those of brute force over all pairs; nearly so if a key of four lines counts as crowded."""
+    """By the defaults the lines that stay are those of brute force over all pairs of characters; nearly so if a key of four lines counts as crowded."""
     monkeypatch.setattr(components, "FEW", few)
     monkeypatch.setattr(components, "CROWDED", crowded)
     lines = varied_lines(random.Random(17), [4, 5, 6, 9, 12, 15, 20, 36, 60, 120], 9, 0.2)
@@ -271,28 +298,51 @@ def test_lines_lose_no_link(spark, monkeypatch, few, crowded):
 def test_edit_similarity_is_exact(spark):
     """alike() takes no short cut that changes a verdict."""
     rng = random.Random(31)
-    lines = varied_lines(rng, [3, 8, 8, 20, 40, 210], 12, 0.3) + ["", "a", "a b", "b a", "é" * 30, "é" * 25 + "e" * 5]
+    lines = varied_lines(rng, [3, 8, 8, 20, 40, 210, 300], 12, 0.3) + ["", "a", "a b", "b a", "é" * 30, "é" * 25 + "e" * 5]
+    lines += [typos(rng, line, rng.uniform(0.02, 0.3)) for line in lines if len(line) > 5 for _ in range(2)]
     pairs = [(a, b) for a in lines for b in lines if a and b and a < b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b))]
     got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.alike(F.col("a"), F.col("b"), 0.8).alias("same")).collect()
     assert {(r["a"], r["b"]): r["same"] for r in got} == {(a, b): alike(a, b) for a, b in pairs}
 
 
-def test_lines_lost_by_keys(spark):
-    """Of pairs of lines by edit similarity and kind of edit, the share that the keys bring together."""
+@pytest.mark.parametrize(("kind", "low", "share"), [("words", 0.8, 0.98), ("typos", 0.9, 0.95)])
+def test_planted_lines_go(spark, kind, low, share):
+    """Of lines of the table edited at random and put back among them, by whole runs, the share of those from a similarity on that go."""
     rng = random.Random(5)
-    rows = [r["line"] for r in spark.read.parquet(f"{DIR}/documents.parquet").select(F.explode(F.split(line_dedup.normal_form(F.col("text")), "\n")).alias("line")).select(F.trim("line").alias("line")).distinct().collect()]
-    rows = sorted(r for r in rows if 6 <= len(r.split()) and len(r) < 400)
-    vocabulary, pairs = [w for r in rows for w in r.split()], []
-    for line in rng.choices(rows, k=700):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text")
+    rows = docs.select(F.explode(F.split(line_dedup.normal_form(F.col("text")), "\n")).alias("line")).select(F.trim("line").alias("line")).distinct().collect()
+    rows = sorted(r["line"] for r in rows if 6 <= len(r["line"].split()) and len(r["line"]) < 400)
+    vocabulary, planted = [w for r in rows for w in r.split()], []
+    for line in rng.choices(rows, k=400):
         words = line.split()
-        for _ in range(rng.randint(1, max(1, len(words) // 5))):
-            i = rng.randrange(len(words))
-            words[i : i + 1] = rng.choice([[], [rng.choice(vocabulary)], [rng.choice(vocabulary)], [words[i], rng.choice(vocabulary)]])
-        pairs.append((line, " ".join(words) or "x"))
-    pairs = [(a, b) for a, b in pairs if edits(a, b) <= 0.2 * max(len(a), len(b))]
-    keys = lambda c: line_dedup.line_keys(F.split(c, " "))
-    found = spark.createDataFrame(pairs, "a string, b string").select(F.arrays_overlap(keys("a"), keys("b")).alias("met")).collect()
-    assert len(found) > 300 and sum(r["met"] for r in found) >= 0.99 * len(found)
+        if kind == "words":
+            for _ in range(rng.randint(1, max(1, len(words) // 5))):
+                i = rng.randrange(len(words))
+                words[i : i + 1] = rng.choice([[], [rng.choice(vocabulary)], [rng.choice(vocabulary)], [words[i], rng.choice(vocabulary)]])
+        edited = " ".join(words) if kind == "words" else typos(rng, line, rng.uniform(0.01, 1 - low))
+        if edited and edits(line, edited) <= (1 - low) * max(len(line), len(edited)):
+            planted.append(edited)
+    assert len(planted) > 150
+    put = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(planted)], "doc_id long, text string")
+    left = line_dedup.dedup_lines(docs.unionByName(put)).where("doc_id >= 1000000000 and text <> ''").count()
+    assert left <= (1 - share) * len(planted)
+
+
+def test_lines_behind_one_head(spark):
+    """Pairs of lines are found whatever the number of lines that begin alike, and the same on other partitions."""
+    rng = random.Random(8)
+    word = lambda low, high: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(low, high)))
+    vocabulary, rows = [word(3, 8) for _ in range(2000)], []
+    for n in (30, 400):
+        head = [word(12, 15) for _ in range(9)]
+        for _ in range(n):
+            tail = rng.choices(vocabulary, k=45)
+            other = [rng.choice(vocabulary) if i in (3, 20, 41) else w for i, w in enumerate(tail)]
+            rows += [" ".join(head + tail), " ".join(head + other)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for parts in (2, 5):
+        got = {r["doc_id"] for r in line_dedup.dedup_lines(docs.repartition(parts)).where("text <> ''").collect()}
+        assert got == set(range(0, len(rows), 2))
 
 
 @pytest.mark.parametrize(("few", "crowded"), [(8, 64), (2, 3)])
