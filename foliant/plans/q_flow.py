@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import flow
+from ..operators import flow, neighbours
 from ..operators import lines as ln
 from ..sources import fixtures as fx
 from .q_windows import DOC, RUNS, _coded
@@ -52,3 +52,41 @@ def blocks_of_lines(spark, sf_dir):
 @query("lines_moved_over_pages", MOVED_SQL)
 def lines_moved_over_pages(spark, sf_dir):
     return flow.joined_over_pages(*blocks_of_lines(spark, sf_dir)).select(*DOC, "block_no", "line_no", "to_page", "to_block", "cross_page", "lines_deleted")
+
+
+_FACE_Y = "((a.y0 < b.y1 AND b.y0 < a.y1) OR (a.y0 = b.y0 AND a.y1 = b.y1))"
+_FACE_X = "((a.x0 < b.x1 AND b.x0 < a.x1) OR (a.x0 = b.x0 AND a.x1 = b.x1))"
+_TWO = "dets a LEFT JOIN dets b ON a.doc_id = b.doc_id AND a.page_idx = b.page_idx AND a.ord <> b.ord"
+
+
+def _pick(rule: str, order: str, name: str) -> str:
+    return f"list(b.ord ORDER BY {order}, b.ord) FILTER ({rule})[1] AS {name}".replace("list(", "(list(", 1).replace(")[1]", "))[1]")
+
+
+_LEFT = f"(b.x1 <= a.x0 AND {_FACE_Y}) OR (b.x1 > a.x0 AND b.x0 < a.x0 AND (a.y0 BETWEEN b.y0 AND b.y1 OR a.y1 BETWEEN b.y0 AND b.y1))"
+_RIGHT = f"(b.x0 >= a.x1 AND {_FACE_Y}) OR (b.x1 > a.x0 AND b.x1 < a.x1 AND (b.y0 BETWEEN a.y0 AND a.y1 OR b.y1 BETWEEN a.y0 AND a.y1))"
+_TOP, _BOTTOM = f"b.y1 <= a.y0 AND {_FACE_X}", f"b.y0 >= a.y1 AND {_FACE_X}"
+
+DIRECT_SQL = f"""WITH {fx.detections_sql()} SELECT a.doc_id, a.page_idx, a.ord, {_pick(_LEFT, "b.x1 DESC", '"left"')}, {_pick(_RIGHT, "b.x0", '"right"')}, {_pick(_TOP, "b.y1 DESC", "top")}, {_pick(_BOTTOM, "b.y0", "bottom")},
+    {_pick(_TOP, "b.y1 DESC, b.x0", "top_from_left")}, {_pick(_TOP, "b.y1 DESC, b.x1 DESC", "top_from_right")}, {_pick(_BOTTOM, "b.y0, b.x0", "bottom_from_left")}, {_pick(_BOTTOM, "b.y0, b.x1 DESC", "bottom_from_right")},
+    {_pick("b.x1 <= a.x0", "b.x1 DESC", "left_line")}, {_pick("b.x0 >= a.x1", "b.x0", "right_line")} FROM {_TWO} GROUP BY ALL"""
+
+
+@query("direct_neighbours", DIRECT_SQL)
+def direct_neighbours(spark, sf_dir):
+    return neighbours.direct(fx.detections(spark, sf_dir))
+
+
+def _walk(name: str, parent: str) -> str:
+    return f"""{name}(doc_id, page_idx, ord, n) AS (SELECT doc_id, page_idx, ord, 0 FROM parents WHERE {parent} IS NULL
+        UNION ALL SELECT p.doc_id, p.page_idx, p.ord, w.n + 1 FROM {name} w JOIN parents p ON p.doc_id = w.doc_id AND p.page_idx = w.page_idx AND p.{parent} = w.ord)"""
+
+
+DEPTHS_SQL = f"""WITH RECURSIVE {fx.detections_sql()}, parents AS MATERIALIZED (SELECT a.doc_id, a.page_idx, a.ord, {_pick(f"b.x1 <= a.x0 AND {_FACE_Y}", "b.x1 DESC", "px")}, {_pick(_TOP, "b.y1 DESC", "py")} FROM {_TWO} GROUP BY ALL),
+    {_walk("xs", "px")}, {_walk("ys", "py")}
+    SELECT doc_id, page_idx, ord, xs.n AS idx_x, ys.n AS idx_y FROM xs JOIN ys USING (doc_id, page_idx, ord)"""
+
+
+@query("box_depths", DEPTHS_SQL)
+def box_depths(spark, sf_dir):
+    return neighbours.depths(fx.detections(spark, sf_dir))
