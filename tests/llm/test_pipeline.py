@@ -29,10 +29,18 @@ def write(spark, path, rows):
 
 
 def test_pipeline_on_messy_rows(spark, tmp_path):
-    got = corpus_pipeline.run(spark, write(spark, tmp_path, ROWS)).collect()
-    ids = {r["doc_id"] for r in got}
-    # 1, 2 and the row without a doc_id are near copies, of which the first stays; the rest but 6 has too few words
-    assert 6 in ids and len(ids & {1, 2, None}) == 1 and ids <= {1, 2, 6, None}
+    path = write(spark, tmp_path, ROWS)
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, path)
+    # the rows with too few words go; 1, 2 and the row without a doc_id have one line between them, which the first of all keeps,
+    # so that 1 and 2 are empty and thereby equal; the lines of 6 are alike but for digits and k
+    left = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert left.keys() in ({None, 1, 6}, {None, 2, 6})
+    assert left[None] == PROSE + " more" and [left[i] for i in left if i in (1, 2)] == [""] and left[6].startswith("line0 item0 of0")
+    # which of them the mix repeats, and how often, depends on sizes and the seed
+    ids = {r["doc_id"] for r in corpus_pipeline.run(spark, path).collect()}
+    assert 6 in ids and ids <= left.keys()
 
 
 def test_pipeline_on_no_rows(spark, tmp_path):
