@@ -22,7 +22,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import q_arrangement, q_boxes, q_documents, q_flow, q_kernels, q_pages, q_text, q_windows  # noqa: F401
+    from . import q_arrangement, q_boxes, q_content, q_documents, q_flow, q_kernels, q_pages, q_text, q_windows  # noqa: F401
 
 
 load()
