@@ -21,8 +21,6 @@ from .detections import PAGE, pairs
 IN_BLOCK, IN_DISCARDED, IN_PART = 0.6, 0.4, 0.6
 
 BOX = ["x0", "y0", "x1", "y1"]
-#: Parts of a block, in the order in which they take spans.
-PARTS = ("body", "caption", "note")
 
 
 def filled(blocks: DataFrame, spans: DataFrame, share: float = IN_BLOCK) -> DataFrame:
@@ -38,7 +36,8 @@ def filled(blocks: DataFrame, spans: DataFrame, share: float = IN_BLOCK) -> Data
 
 def _on(corners: Column) -> Column:
     """The span lies on a box given by its corners; never on a null one."""
-    return F.coalesce(g.overlap_of_first(g.box(), g.Box(*[corners[i] for i in range(4)])) > IN_PART, F.lit(False))
+    # least and greatest pass over nulls, so that a null box would hold everything
+    return corners.isNotNull() & F.coalesce(g.overlap_of_first(g.box(), g.Box(*[corners[i] for i in range(4)])) > IN_PART, F.lit(False))
 
 
 def in_parts(held: DataFrame) -> DataFrame:

@@ -56,7 +56,7 @@ def _beaten(name: str, a: str, b: str, rule: str) -> str:
 
 SMALLER = f"({AREA_A} < {AREA_B} OR ({AREA_A} = {AREA_B} AND a.ord > b.ord))"
 FRAME = "CAST(NULL AS STRUCT(x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE))"
-_ON_PART = """coalesce(greatest(least(x1, {0}.x1) - greatest(x0, {0}.x0), 0) * greatest(least(y1, {0}.y1) - greatest(y0, {0}.y0), 0) / ((x1 - x0) * (y1 - y0)) > 0.6, false)"""
+_ON_PART = """{0} IS NOT NULL AND coalesce(greatest(least(x1, {0}.x1) - greatest(x0, {0}.x0), 0) * greatest(least(y1, {0}.y1) - greatest(y0, {0}.y0), 0) / ((x1 - x0) * (y1 - y0)) > 0.6, false)"""
 
 EVIDENCE = f"""{DETS.replace("WITH dets AS", "WITH RECURSIVE raw AS").replace("% 500", "% 300")}, evidence AS MATERIALIZED (
     SELECT doc_id, page_idx, ord, CASE category_id WHEN 8 THEN 15 ELSE category_id END AS category_id, score, x0, y0,
