@@ -295,6 +295,20 @@ def test_lines_lose_no_link(spark, monkeypatch, few, crowded):
     assert got == want if crowded == 64 else want <= got and len(got) <= len(want) * 1.1
 
 
+@pytest.mark.parametrize("block", [1024, 50])
+def test_crowded_keys_lose_no_link(spark, monkeypatch, block):
+    """All links are found of nodes that share one crowded key and no other, or several crowded ones, also if many tasks compare them."""
+    monkeypatch.setattr(components, "BLOCK", block)
+    rows = [(k, v, v % 3) for k in (1, 2) for v in range(400)] + [(3, v, 0) for v in range(1000, 1300)]
+    filed = spark.createDataFrame(rows, "key long, v long, n long")
+    linked = lambda p, q: F.floor(p / 2) == F.floor(q / 2)
+    told = filed.select("v", F.col("v").alias("t")).distinct(), linked(F.col("x.t"), F.col("y.t"))
+    for how in (told, None):
+        found = components.linked_groups(filed, F.col("x.n") < 3, lambda pairs: pairs.where(linked(F.col("a"), F.col("b"))), told=how)
+        got = {(r["node"], r["root"]) for r in found.collect()}
+        assert got == {(v, v // 2 * 2) for v in [*range(400), *range(1000, 1300)]}
+
+
 def test_edit_similarity_is_exact(spark):
     """alike() takes no short cut that changes a verdict."""
     rng = random.Random(31)
