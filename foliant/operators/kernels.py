@@ -8,12 +8,16 @@ many to a batch.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import geometry as g
 from .detections import PAGE, pairs
@@ -21,39 +25,68 @@ from .detections import PAGE, pairs
 BOX = ["x0", "y0", "x1", "y1"]
 
 
-def by_page(boxes: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame | None], schema: str) -> DataFrame:
-    """kernel of each page's boxes, None for no rows. Null page keys are a page like others.
+class Page(dict):
+    """The columns of one page's rows as arrays; keyed tells whether it has both its keys."""
 
-    Pages are dealt out and sorted once, and cut from whole batches; the last one of
-    a batch is held until the next shows that it has ended.
+    keyed = True
+
+    @property
+    def boxes(self) -> np.ndarray:
+        return np.stack([self[c] for c in BOX], axis=1).astype(float)
+
+
+def by_page(boxes: DataFrame, kernel: Callable[[Page], list | None], schema: str, order: tuple[str, ...] = ("ord",)) -> DataFrame:
+    """schema's rows of what kernel makes of each page's boxes in some columns' order: schema's columns behind the page
+    keys, as arrays or lists of one length, or None for no rows. Null page keys are a page like others, one that is not keyed.
+
+    Pages are dealt out and sorted once, and cut from whole batches without a data
+    frame of their own; the last one of a batch is held until the next shows that it
+    has ended.
     """
+    types = to_arrow_schema(StructType.fromDDL(schema))
 
-    def cuts(batch: pd.DataFrame) -> np.ndarray:
-        change = np.zeros(len(batch), dtype=bool)
+    def absent(batch: pa.RecordBatch, key: str) -> np.ndarray:
+        return batch.column(key).is_null().to_numpy(zero_copy_only=False)
+
+    def changes(batch: pa.RecordBatch) -> np.ndarray:
+        change = np.zeros(batch.num_rows, dtype=bool)
         for k in PAGE:
-            v, before = batch[k], batch[k].shift()
-            change |= (v.ne(before) & ~(v.isna() & before.isna())).to_numpy()
+            v, null = batch.column(k).fill_null(0).to_numpy(), absent(batch, k)
+            change[1:] |= (v[1:] != v[:-1]) | (null[1:] != null[:-1])
         change[:1] = True
-        return np.append(np.flatnonzero(change), len(batch))
-
-    def results(batch: pd.DataFrame, at: np.ndarray):
-        found = [kernel(batch.iloc[a:b]) for a, b in zip(at, at[1:])]
-        found = [f for f in found if f is not None and len(f)]
+        return np.append(np.flatnonzero(change), batch.num_rows)
+
+    def results(batch: pa.RecordBatch, at: np.ndarray):
+        columns = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+        keyed = (~(absent(batch, PAGE[0]) | absent(batch, PAGE[1])))[at[:-1]].tolist()
+        found, sizes = [], np.zeros(len(at) - 1, dtype=np.int64)
+        for n, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
+            page = Page((c, v[a:b]) for c, v in columns.items())
+            page.keyed = keyed[n]
+            rows = kernel(page)
+            if rows is not None and len(rows[0]):
+                found.append(rows)
+                sizes[n] = len(rows[0])
         if found:
-            yield pd.concat(found, ignore_index=True)
+            keys = [batch.column(k).take(pa.array(np.repeat(at[:-1], sizes))).cast(types.field(k).type) for k in PAGE]
+            joined = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [v for part in c for v in part] for c in zip(*found)]
+            yield pa.RecordBatch.from_arrays([*keys, *[pa.array(c, f.type, from_pandas=True) for c, f in zip(joined, list(types)[len(PAGE) :])]], schema=types)
 
     def run(batches):
         held = None
         for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            at = cuts(batch)
-            if len(batch):
-                held = batch.iloc[at[-2] :]
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            at = changes(batch)
+            held = batch.slice(at[-2])
+            if len(at) > 2:
                 yield from results(batch, at[:-1])
         if held is not None:
-            yield from results(held, np.array([0, len(held)]))
+            yield from results(held, np.array([0, held.num_rows]))
 
-    return boxes.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInPandas(run, schema)
+    return boxes.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInArrow(run, schema)
 
 
 def _losers(found: DataFrame) -> DataFrame:
@@ -107,31 +140,34 @@ def separate(boxes: DataFrame) -> DataFrame:
     beaten = (F.col("a.ord") != F.col("b.ord")) & g.contained(inner, outer) & (~g.contained(outer, inner) | (F.col("a.ord") > F.col("b.ord")))
     boxes = pairs(boxes, boxes, beaten, "left_anti")
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", ignore_index=True)
-        b, alive = page[BOX].to_numpy(dtype=float).copy(), np.ones(len(page), dtype=bool)
-        for i in range(len(page)):
-            for j in range(i + 1, len(page)):
-                if not (alive[i] and alive[j]):
+    def kernel(page: Page) -> list:
+        b = page.boxes.tolist()
+        alive, known = [True] * len(b), (~np.isnan(page.boxes).any(axis=1)).tolist()
+        for i, p in enumerate(b):
+            for j in range(i + 1, len(b)):
+                if not (alive[i] and known[i]):
+                    break
+                q = b[j]
+                if not (alive[j] and known[j]):
                     continue
-                w, h = min(b[i, 2], b[j, 2]) - max(b[i, 0], b[j, 0]), min(b[i, 3], b[j, 3]) - max(b[i, 1], b[j, 1])
+                w, h = min(p[2], q[2]) - max(p[0], q[0]), min(p[3], q[3]) - max(p[1], q[1])
                 if w <= 0 or h <= 0:
                     continue
-                for inner, outer in ((i, j), (j, i)):
-                    if (b[inner, :2] >= b[outer, :2]).all() and (b[inner, 2:] <= b[outer, 2:]).all():
+                for inner, x, y in ((i, p, q), (j, q, p)):
+                    if x[0] >= y[0] and x[1] >= y[1] and x[2] <= y[2] and x[3] <= y[3]:
                         alive[inner] = False
                         break
                 else:
                     low, high = (0, 2) if w < h else (1, 3)
-                    first, second = (i, j) if b[i, low] <= b[j, low] else (j, i)
-                    middle = np.floor((b[second, low] + b[first, high]) / 2)
-                    b[first, high], b[second, low] = middle - 0.25, middle + 0.25
+                    first, second = (p, q) if p[low] <= q[low] else (q, p)
+                    middle = math.floor((second[low] + first[high]) / 2)
+                    first[high], second[low] = middle - 0.25, middle + 0.25
                     for k in (i, j):
-                        alive[k] &= bool(b[k, 2] > b[k, 0] and b[k, 3] > b[k, 1])
-        page[BOX] = b
-        return page.loc[alive, [*PAGE, "ord", *BOX]]
+                        alive[k] = alive[k] and b[k][2] > b[k][0] and b[k][3] > b[k][1]
+        keep = np.array(alive, dtype=bool)
+        return [page["ord"][keep], *np.array(b).reshape(-1, 4)[keep].T]
 
-    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, x0 double, y0 double, x1 double, y1 double")
+    return by_page(boxes.select(*PAGE, "ord", *BOX), kernel, "doc_id long, page_idx int, ord int, x0 double, y0 double, x1 double, y1 double")
 
 
 def assign_captions(candidates: DataFrame) -> DataFrame:
@@ -151,23 +187,21 @@ def reading_order(boxes: DataFrame) -> DataFrame:
     """
 
     def depth(b: np.ndarray, near: int, far: int, low: int, high: int) -> np.ndarray:
-        out = np.zeros(len(b), dtype=int)
-        for i in np.argsort(b[:, near], kind="stable"):
-            hides = (b[:, far] <= b[i, near]) & (np.minimum(b[:, high], b[i, high]) > np.maximum(b[:, low], b[i, low]))
-            if hides.any():
-                candidates = np.flatnonzero(hides)
-                out[i] = out[candidates[np.argmax(b[candidates, far])]] + 1
-        return out
+        hides = (b[:, far] <= b[:, None, near]) & (np.minimum(b[:, high], b[:, None, high]) > np.maximum(b[:, low], b[:, None, low]))
+        behind, last = hides.any(axis=1).tolist(), np.where(hides, b[:, far], -np.inf).argmax(axis=1).tolist()
+        out = [0] * len(b)
+        for i in np.argsort(b[:, near], kind="stable").tolist():
+            if behind[i]:
+                out[i] = out[last[i]] + 1
+        return np.array(out)
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", ignore_index=True)
-        b = page[BOX].to_numpy(dtype=float)
-        page["depth_x"], page["depth_y"] = depth(b, 0, 2, 1, 3), depth(b, 1, 3, 0, 2)
-        page = page.sort_values(["depth_x", "depth_y", "ord"], kind="stable")
-        page["place"] = range(1, len(page) + 1)
-        return page[[*PAGE, "ord", "depth_x", "depth_y", "place"]]
+    def kernel(page: Page) -> list:
+        b = page.boxes
+        x, y = depth(b, 0, 2, 1, 3), depth(b, 1, 3, 0, 2)
+        order = np.lexsort((y, x))
+        return [page["ord"][order], x[order], y[order], np.arange(1, len(b) + 1)]
 
-    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, depth_x int, depth_y int, place int")
+    return by_page(boxes.select(*PAGE, "ord", *BOX), kernel, "doc_id long, page_idx int, ord int, depth_x int, depth_y int, place int")
 
 
 def xy_cut(boxes: DataFrame) -> DataFrame:
@@ -178,31 +212,34 @@ def xy_cut(boxes: DataFrame) -> DataFrame:
     below one another, H beside one another, U where they cannot be told apart.
     """
 
-    def gaps(b: np.ndarray, idx: np.ndarray, low: int, high: int) -> list[np.ndarray]:
-        order = idx[np.argsort(b[idx, low], kind="stable")]
-        ends = np.maximum.accumulate(b[order, high])
-        return np.split(order, np.flatnonzero(b[order[1:], low] >= ends[:-1]) + 1)
-
-    def parts(b: np.ndarray, idx: np.ndarray) -> list[tuple[np.ndarray, str]]:
+    def gaps(b: list, idx: list[int], low: int, high: int) -> list[list[int]]:
+        order = sorted(idx, key=lambda i: b[i][low])
+        cut, end = [[order[0]]], b[order[0]][high]
+        for i in order[1:]:
+            if b[i][low] >= end:
+                cut.append([])
+            cut[-1].append(i)
+            end = max(end, b[i][high])
+        return cut
+
+    def parts(b: list, idx: list[int]) -> list[tuple[list[int], str]]:
         if len(idx) == 1:
             return [(idx, "V")]
         for low, high, label in ((1, 3, "V"), (0, 2, "H")):
             cut = gaps(b, idx, low, high)
             if len(cut) > 1:
                 if all(len(c) == 1 for c in cut):
-                    return [(np.concatenate(cut), label)]
+                    return [([i for c in cut for i in c], label)]
                 return [p for c in cut for p in parts(b, c)]
         return [(idx, "U")]
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", ignore_index=True)
-        b = page[BOX].to_numpy(dtype=float)
-        rows = [(i, n, label) for n, (idx, label) in enumerate(parts(b, np.arange(len(page)))) for i in idx]
-        out = page.loc[[i for i, _, _ in rows], [*PAGE, "ord"]].copy()
-        out["layout"], out["label"] = [n for _, n, _ in rows], [label for _, _, label in rows]
-        return out
+    def kernel(page: Page) -> list:
+        b = page.boxes.tolist()
+        rows = [(i, n, label) for n, (idx, label) in enumerate(parts(b, list(range(len(b))))) for i in idx]
+        place, layout, label = zip(*rows)
+        return [page["ord"][list(place)], list(layout), list(label)]
 
-    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, layout int, label string")
+    return by_page(boxes.select(*PAGE, "ord", *BOX), kernel, "doc_id long, page_idx int, ord int, layout int, label string")
 
 
 def sort_text_boxes(boxes: DataFrame, band: float = 10.0) -> DataFrame:
@@ -227,20 +264,22 @@ def sort_text_boxes(boxes: DataFrame, band: float = 10.0) -> DataFrame:
 def touching_groups(boxes: DataFrame) -> DataFrame:
     """(page keys, ord, grp): boxes that touch, directly or over others, share the least ord among them."""
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", ignore_index=True)
-        b = page[BOX].to_numpy(dtype=float)
-        label = np.arange(len(page))
+    def kernel(page: Page) -> list:
+        b = page.boxes
+        if len(b) == 1:
+            return [page["ord"], page["ord"]]
+        label = np.arange(len(b))
         touch = (b[:, None, 0] <= b[None, :, 2]) & (b[None, :, 0] <= b[:, None, 2]) & (b[:, None, 1] <= b[None, :, 3]) & (b[None, :, 1] <= b[:, None, 3])
+        touch[label, label] = True
         while True:
-            new = np.where(touch, label[None, :], len(page)).min(axis=1)
+            new = np.where(touch, label[None, :], len(b)).min(axis=1)
             new = new[new]
             if (new == label).all():
                 break
             label = new
-        return page[[*PAGE, "ord"]].assign(grp=page["ord"].to_numpy()[label])
+        return [page["ord"], page["ord"][label]]
 
-    return by_page(boxes, kernel, "doc_id long, page_idx int, ord int, grp int")
+    return by_page(boxes.select(*PAGE, "ord", *BOX), kernel, "doc_id long, page_idx int, ord int, grp int")
 
 
 def analyse_pages(pages: DataFrame, model: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

@@ -7,12 +7,11 @@ looked at in order, in kernels that get whole pages, many to a batch.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import detections as d
-from .kernels import BOX, by_page
+from .kernels import BOX, Page, by_page
 
 #: The share of a caption that must lie on a side of its body, and the distance up to which two count as equal.
 ON_SIDE, CLOSE = 0.6, 0.0001
@@ -129,9 +128,6 @@ def _largest_side(subject: np.ndarray, objects: np.ndarray, chosen: list[int]) -
     return kept
 
 
-_TIED = f"{KEYS}, ord int, place int, score double, body array<double>, objects array<int>, object_box array<double>, box array<double>"
-
-
 def tied(dets: DataFrame, subject: int, kind: int) -> DataFrame:
     """(page keys, ord, place, score, body, objects, object_box, box): each body of a category with the objects of another that belong to it.
 
@@ -145,25 +141,38 @@ def tied(dets: DataFrame, subject: int, kind: int) -> DataFrame:
     most room are tied to the body, and are free no more. objects has their ord,
     object_box the box around them (null without any), box the one around all.
     """
-    boxes = d.by_category(dets, subject, kind).select(*d.PAGE, "ord", "category_id", "score", *BOX)
+    return _tied(dets, subject, [kind]).select(*d.PAGE, "ord", "place", "score", "body", F.col("objects0").alias("objects"), F.col("object_box0").alias("object_box"), F.col("box0").alias("box"))
+
+
+def _tied(dets: DataFrame, subject: int, kinds: list[int]) -> DataFrame:
+    """tied() to each of kinds, all in one pass: (page keys, ord, place, score, body, and objects, object_box and box with each kind's number)."""
+    boxes = d.by_category(dets, subject, *kinds).select(*d.PAGE, "ord", "category_id", "score", *BOX)
+    schema = f"{KEYS}, ord int, place int, score double, body array<double>" + "".join(f", objects{n} array<int>, object_box{n} array<double>, box{n} array<double>" for n in range(len(kinds)))
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame | None:
-        page = page.sort_values("ord")
-        kinds, ords, scores, all_boxes = page["category_id"].to_numpy(), page["ord"].to_numpy(), page["score"].to_numpy(), page[BOX].to_numpy(dtype=float)
-        s, o = np.flatnonzero(kinds == subject), np.flatnonzero(kinds == kind)
-        s, o = s[outermost(all_boxes[s])], o[outermost(all_boxes[o])]
+    def kernel(page: Page) -> list | None:
+        category, ords, scores, all_boxes = page["category_id"], page["ord"], page["score"], page.boxes
+        s = np.flatnonzero(category == subject)
+        if not len(s):
+            return None
+        s = s[outermost(all_boxes[s])]
         s = s[np.argsort((all_boxes[s, :2] ** 2).sum(axis=1), kind="stable")]
         if not len(s):
             return None
-        rows = []
-        for place, (i, kept) in enumerate(zip(s, tie(all_boxes[s], all_boxes[o]))):
-            own = all_boxes[o[kept]]
-            together = union(own) if kept else None
-            rows.append((int(ords[i]), place, float(scores[i]), all_boxes[i].tolist(), ords[o[kept]].tolist(), None if together is None else together.tolist(), union(np.vstack((own, all_boxes[i]))).tolist()))
-        found = pd.DataFrame(rows, columns=["ord", "place", "score", "body", "objects", "object_box", "box"])
-        return pd.concat([page[d.PAGE].iloc[[0] * len(rows)].reset_index(drop=True), found], axis=1)
-
-    return by_page(boxes, kernel, _TIED)
+        bodies = all_boxes[s]
+        columns = [ords[s].tolist(), list(range(len(s))), scores[s].tolist(), bodies.tolist()]
+        for kind in kinds:
+            o = np.flatnonzero(category == kind)
+            o = o[outermost(all_boxes[o])]
+            objects, around, whole = [], [], []
+            for body, kept in zip(bodies, tie(bodies, all_boxes[o]) if len(o) else [[]] * len(s)):
+                own = all_boxes[o[kept]] if kept else None
+                objects.append(ords[o[kept]].tolist() if kept else [])
+                around.append(union(own).tolist() if kept else None)
+                whole.append(union(np.vstack((own, body))).tolist() if kept else body.tolist())
+            columns += [objects, around, whole]
+        return columns
+
+    return by_page(boxes, kernel, schema)
 
 
 def images_with_captions(dets: DataFrame) -> DataFrame:
@@ -173,13 +182,8 @@ def images_with_captions(dets: DataFrame) -> DataFrame:
 
 def tables_with_captions(dets: DataFrame) -> DataFrame:
     """(page keys, ord, score, body, caption_box, note_box, box) of each table, with its caption and its footnotes."""
-    captions = tied(dets, 5, 6).select(*d.PAGE, "ord", "score", "body", F.col("object_box").alias("caption_box"), F.col("box").alias("with_caption"))
-    notes = tied(dets, 5, 7).select(*[F.col(k).alias(f"n_{k}") for k in d.PAGE], F.col("ord").alias("n_ord"), F.col("object_box").alias("note_box"), F.col("box").alias("with_note"))
-    on = F.col("ord") == F.col("n_ord")
-    for k in d.PAGE:
-        on = on & F.col(k).eqNullSafe(F.col(f"n_{k}"))
-    end = lambda i: (F.least if i < 2 else F.greatest)(F.col("with_caption")[i], F.col("with_note")[i])
-    return captions.join(notes, on).select(*d.PAGE, "ord", "score", "body", "caption_box", "note_box", F.array(*[end(i) for i in range(4)]).alias("box"))
+    end = lambda i: (F.least if i < 2 else F.greatest)(F.col("box0")[i], F.col("box1")[i])
+    return _tied(dets, 5, [6, 7]).select(*d.PAGE, "ord", "score", "body", F.col("object_box0").alias("caption_box"), F.col("object_box1").alias("note_box"), F.array(*[end(i) for i in range(4)]).alias("box"))
 
 
 _BOXES = f"{KEYS}, ord int, x0 double, y0 double, x1 double, y1 double"
@@ -194,24 +198,22 @@ def pushed_apart(boxes: DataFrame) -> DataFrame:
     see it as it is then. Its two edges may cross when others took all its room.
     """
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("ord", ignore_index=True)
-        page = page[outermost(page[BOX].to_numpy(dtype=float))]
-        b = page[BOX].to_numpy(dtype=float).copy()
-        for i in range(len(b)):
-            for j in range(i + 1, len(b)):
-                apart = (b[i, :2] > b[j, 2:]).any() or (b[i, 2:] < b[j, :2]).any()
-                if apart or ((b[i, :2] >= b[j, :2]).all() and (b[i, 2:] <= b[j, 2:]).all()):
+    def kernel(page: Page) -> list:
+        left = outermost(page.boxes)
+        b = page.boxes[left].tolist()
+        for i, p in enumerate(b):
+            for q in b[i + 1 :]:
+                apart = p[0] > q[2] or p[1] > q[3] or p[2] < q[0] or p[3] < q[1]
+                if apart or (p[0] >= q[0] and p[1] >= q[1] and p[2] <= q[2] and p[3] <= q[3]):
                     continue
-                signed = (b[:, 2] - b[:, 0]) * (b[:, 3] - b[:, 1])
-                large, small = (i, j) if signed[i] > signed[j] else (j, i)
-                off = (b[large, :2] + b[large, 2:] - b[small, :2] - b[small, 2:]) / 2
+                large, small = (p, q) if (p[2] - p[0]) * (p[3] - p[1]) > (q[2] - q[0]) * (q[3] - q[1]) else (q, p)
+                off = [(large[k] + large[k + 2] - small[k] - small[k + 2]) / 2 for k in (0, 1)]
                 axis = 0 if abs(off[0]) > abs(off[1]) else 1
-                if off[axis] > 0 and b[large, axis] < b[small, axis + 2]:
-                    b[large, axis] = b[small, axis + 2] + GAP
-                elif off[axis] < 0 and b[large, axis + 2] > b[small, axis]:
-                    b[large, axis + 2] = b[small, axis] - GAP
-        return pd.concat([page[[*d.PAGE, "ord"]].reset_index(drop=True), pd.DataFrame(b, columns=BOX)], axis=1)
+                if off[axis] > 0 and large[axis] < small[axis + 2]:
+                    large[axis] = small[axis + 2] + GAP
+                elif off[axis] < 0 and large[axis + 2] > small[axis]:
+                    large[axis + 2] = small[axis] - GAP
+        return [page["ord"][left], *np.array(b).reshape(-1, 4).T]
 
     return by_page(boxes.select(*d.PAGE, "ord", *BOX), kernel, _BOXES)
 
@@ -225,9 +227,8 @@ def grown_over_overlaps(boxes: DataFrame) -> DataFrame:
     the rest. A round with a merger leaves one box less at least, so rounds end.
     """
 
-    def kernel(page: pd.DataFrame) -> pd.DataFrame | None:
-        page = page.sort_values("ord")
-        b = page[BOX].to_numpy(dtype=float)
+    def kernel(page: Page) -> list | None:
+        b = page.boxes
         b = b[outermost(b)]
         while len(b):
             across = (b[:, None, 0] - STICK_OUT <= b[None, :, 0]) & (b[:, None, 2] + STICK_OUT >= b[None, :, 2])
@@ -242,10 +243,6 @@ def grown_over_overlaps(boxes: DataFrame) -> DataFrame:
                 if len(partners):
                     gone[[i, *partners]] = True
             b = np.vstack((*merged, b[~gone]))
-        if not len(b):
-            return None
-        found = pd.DataFrame(b, columns=BOX)
-        found.insert(0, "place", np.arange(len(b)))
-        return pd.concat([page[d.PAGE].iloc[[0] * len(b)].reset_index(drop=True), found], axis=1)
+        return [np.arange(len(b)), *b.T] if len(b) else None
 
     return by_page(boxes.select(*d.PAGE, "ord", *BOX), kernel, f"{KEYS}, place int, x0 double, y0 double, x1 double, y1 double")

@@ -133,3 +133,9 @@ def test_lexicon_is_bounded(spark, monkeypatch):
         segment.collected(spark.createDataFrame([("a", 1.0), ("b", 1.0), ("c", 1.0)], "word string, cost double"))
     ranked = segment.ranked_lexicon(spark.createDataFrame([("b a b, A c " + "x" * 16,)], "text string"), 2).collect()
     assert {r["word"]: round(r["cost"], 6) for r in ranked} == {"a": round(math.log(math.log(2)), 6), "b": round(math.log(2 * math.log(2)), 6)}
+
+
+def test_spans_are_dealt_out_once(spark):
+    """Characters weigh far more than all else, so no join or window may shuffle them again."""
+    plan = inline.with_inline_formulas(fx.spans_with_chars(spark, DIR), fx.inline_formulas(spark, DIR))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "row_number" not in plan

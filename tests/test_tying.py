@@ -179,3 +179,25 @@ def test_pages_with_null_keys_stay(spark):
     df = spark.createDataFrame(rows, "doc_id long, page_idx int, ord int, score double, x0 double, y0 double, x1 double, y1 double")
     for got in (kernels.reading_order(df), kernels.touching_groups(df), kernels.separate(df), tying.pushed_apart(df)):
         assert sorted(((r["doc_id"], r["page_idx"], r["ord"]) for r in got.collect()), key=str) == sorted((r[:3] for r in rows), key=str)
+
+
+@pytest.mark.parametrize("name", ["images_with_captions", "tables_with_captions", "layouts_pushed_apart", "overlaps_grown", "layout_parts", "reading_order", "touching_images"])
+def test_pages_pass_once_and_without_data_frames(spark, name):
+    """A page costs no data frame of its own, captions and notes of tables come of one pass, and no join is left."""
+    from foliant.plans.registry import QUERIES
+
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+def test_null_page_keys_are_a_page(spark):
+    """Boxes without a document, a page or both are pages of their own, whole over batches of one row."""
+    rows = [(d, p, o, 3, 1.0, 0.0, o * 10.0, 10.0, o * 10.0 + 10) for d in (None, 0, 1) for p in (None, 0, 1) for o in range(3)]
+    boxes = spark.createDataFrame(rows, "doc_id long, page_idx int, ord int, category_id int, score double, x0 double, y0 double, x1 double, y1 double")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 1)
+    try:
+        got = kernels.touching_groups(boxes).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(got) == 27 and {r["grp"] for r in got} == {0} and len({(r["doc_id"], r["page_idx"], r["ord"]) for r in got}) == 27
