@@ -2,26 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import numpy as np
+from pyspark.sql import DataFrame
 
 from ..functions import geometry as g
-from .detections import PAGE, pairs
+from .detections import PAGE
+from .kernels import Page, by_page
 
 #: The neighbours of direct(), in its columns' order.
 SIDES = ("left", "right", "top", "bottom", "top_from_left", "top_from_right", "bottom_from_left", "bottom_from_right", "left_line", "right_line")
 
 
-def faces(a: g.Box, b: g.Box, axis: str) -> Column:
-    """An end of one lies strictly within the other along an axis, or both ends are the same."""
-    a0, a1, b0, b1 = (getattr(box, axis + end) for box in (a, b) for end in "01")
+def faces(b: np.ndarray, low: int) -> np.ndarray:
+    """Whether each box faces each other one along an axis: an end of one lies strictly within the other, or both ends are the same."""
+    a0, a1, b0, b1 = b[:, None, low], b[:, None, low + 2], b[:, low], b[:, low + 2]
     return ((a0 < b1) & (b0 < a1)) | ((a0 == b0) & (a1 == b1))
 
 
-def _edge(side: str, columns: list[str]) -> Column:
-    """An edge of b, drawn out to b's extended one where that is known and not 0."""
-    drawn = f"{side}_ext"
-    return F.coalesce(F.nullif(F.col(f"b.{drawn}"), F.lit(0.0)), F.col(f"b.{side}")) if drawn in columns else F.col(f"b.{side}")
+def _first(rule: np.ndarray, *keys: np.ndarray) -> np.ndarray:
+    """For each row the column with the least keys among those for which rule holds, the first of equal ones; -1 for none."""
+    for key in keys:
+        k = np.where(rule, key, np.inf)
+        rule = rule & (k == k.min(axis=1, keepdims=True))
+    return np.where(rule.any(axis=1), rule.argmax(axis=1), -1)
 
 
 def direct(boxes: DataFrame) -> DataFrame:
@@ -34,28 +37,44 @@ def direct(boxes: DataFrame) -> DataFrame:
     taken, by the extended edges x1_ext, x0_ext and y1_ext on the left, right and top
     where boxes have them, and of equally near ones the first; in the columns `from` a
     side, of equally near ones the farthest out on that side. The columns `line` take
-    the nearest beyond the edge at any height. All come of one join of a page's boxes.
+    the nearest beyond the edge at any height. A page's boxes meet in its task; a box without a page has no neighbours.
     """
-    a, b, names = g.box("a."), g.box("b."), boxes.columns
-    beside, upright = faces(a, b, "y"), faces(a, b, "x")
-    holds_end = a.y0.between(b.y0, b.y1) | a.y1.between(b.y0, b.y1)
-    held_end = b.y0.between(a.y0, a.y1) | b.y1.between(a.y0, a.y1)
-    left, right, above, below = b.x1 <= a.x0, b.x0 >= a.x1, b.y1 <= a.y0, b.y0 >= a.y1
-    rules = {
-        "left": ((left & beside) | ((b.x1 > a.x0) & (b.x0 < a.x0) & holds_end), [-_edge("x1", names)]),
-        "right": ((right & beside) | ((a.x0 < b.x1) & (a.x1 > b.x1) & held_end), [_edge("x0", names)]),
-        "top": (above & upright, [-_edge("y1", names)]),
-        "bottom": (below & upright, [b.y0]),
-        "top_from_left": (above & upright, [-b.y1, b.x0]),
-        "top_from_right": (above & upright, [-b.y1, -b.x1]),
-        "bottom_from_left": (below & upright, [b.y0, b.x0]),
-        "bottom_from_right": (below & upright, [b.y0, -b.x1]),
-        "left_line": (left, [-b.x1]),
-        "right_line": (right, [b.x0]),
-    }
-    chosen = [F.min(F.when(rule, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], F.col("b.ord").alias("ord")))).getField("ord").alias(side) for side, (rule, keys) in rules.items()]
-    found = pairs(boxes, boxes, F.col("a.ord") != F.col("b.ord"), "left")
-    return found.groupBy(*[F.col(f"a.{k}").alias(k) for k in (*PAGE, "ord")]).agg(*chosen)
+    drawn = {edge: f"{edge}_ext" in boxes.columns for edge in ("x0", "x1", "y1")}
+
+    def kernel(page: Page) -> list:
+        b, n = page.boxes, len(page["ord"])
+        if not page.keyed or n == 1:
+            return [page["ord"], *[[None] * n for _ in SIDES]]
+
+        def edge(side: str, of: np.ndarray) -> np.ndarray:
+            extended = page[f"{side}_ext"].astype(float) if drawn[side] else np.zeros(n)
+            return np.where(np.isnan(extended) | (extended == 0), of, extended)
+
+        other = page["ord"][:, None] != page["ord"]
+        x0, y0, x1, y1 = b.T
+        ax0, ay0, ax1, ay1 = (c[:, None] for c in b.T)
+        beside, upright = faces(b, 1), faces(b, 0)
+        holds_end = ((ay0 >= y0) & (ay0 <= y1)) | ((ay1 >= y0) & (ay1 <= y1))
+        held_end = ((y0 >= ay0) & (y0 <= ay1)) | ((y1 >= ay0) & (y1 <= ay1))
+        left, right = other & (x1 <= ax0), other & (x0 >= ax1)
+        above, below = other & (y1 <= ay0) & upright, other & (y0 >= ay1) & upright
+        chosen = [
+            _first((left & beside) | (other & (x1 > ax0) & (x0 < ax0) & holds_end), -edge("x1", x1)),
+            _first((right & beside) | (other & (ax0 < x1) & (ax1 > x1) & held_end), edge("x0", x0)),
+            _first(above, -edge("y1", y1)),
+            _first(below, y0),
+            _first(above, -y1, x0),
+            _first(above, -y1, -x1),
+            _first(below, y0, x0),
+            _first(below, y0, -x1),
+            _first(left, -x1),
+            _first(right, x0),
+        ]
+        ords = [*page["ord"].tolist(), None]
+        return [page["ord"], *[[ords[k] for k in c.tolist()] for c in chosen]]
+
+    columns = [*PAGE, "ord", *g.Box._fields, *[f"{e}_ext" for e, known in drawn.items() if known]]
+    return by_page(boxes.select(*columns), kernel, ", ".join(["doc_id long, page_idx int, ord int", *[f"{side} int" for side in SIDES]]))
 
 
 def depths(boxes: DataFrame) -> DataFrame:
@@ -66,20 +85,23 @@ def depths(boxes: DataFrame) -> DataFrame:
     are folded in the order of their edges, by which what is beyond comes before; a
     box without width (height) is beyond none that comes after it in that order.
     """
-    a, b = g.box("a."), g.box("b.")
 
-    def before(x: str, y: str) -> Column:
-        near, order = getattr(b, x + "1"), lambda p: F.struct(p + x + "0", p + x + "1", p + "ord")
-        rule = (near <= getattr(a, x + "0")) & faces(a, b, y) & (order("b.") < order("a."))
-        return F.min(F.when(rule, F.struct((-near).alias("k"), F.col("b.ord").alias("ord")))).getField("ord")
-
-    found = pairs(boxes, boxes, F.col("a.ord") != F.col("b.ord"), "left")
-    parents = found.groupBy(*[F.col(f"a.{k}").alias(k) for k in (*PAGE, "ord", *g.Box._fields)]).agg(before("x", "y").alias("px"), before("y", "x").alias("py"))
-
-    def fold(axis: str, parent: str) -> Column:
-        met = F.array_sort(F.collect_list(F.struct(f"{axis}0", f"{axis}1", "ord", F.col(parent).alias("p"))))
-        start = F.expr("cast(map() as map<int, int>)")
-        return F.aggregate(met, start, lambda known, s: F.map_concat(known, F.map_from_arrays(F.array(s["ord"]), F.array(F.coalesce(F.element_at(known, s["p"]) + 1, F.lit(0))))))
-
-    pages = parents.groupBy(*PAGE).agg(fold("x", "px").alias("xs"), fold("y", "py").alias("ys"))
-    return pages.select(*PAGE, "ys", F.explode("xs").alias("ord", "idx_x")).select(*PAGE, "ord", "idx_x", F.element_at("ys", F.col("ord")).alias("idx_y"))
+    def depth(b: np.ndarray, ords: np.ndarray, low: int) -> list[int]:
+        # boxes come by ord, so that a stable sort by the edges is one by edges, then ord
+        order = np.lexsort((b[:, low + 2], b[:, low]))
+        rank = np.empty(len(b), dtype=int)
+        rank[order] = np.arange(len(b))
+        rule = (b[:, low + 2] <= b[:, None, low]) & faces(b, 1 - low) & (rank < rank[:, None]) & (ords[:, None] != ords)
+        parent, out = _first(rule, -b[:, low + 2]).tolist(), [0] * len(b)
+        for i in order.tolist():
+            if parent[i] >= 0:
+                out[i] = out[parent[i]] + 1
+        return out
+
+    def kernel(page: Page) -> list:
+        b, ords = page.boxes, page["ord"]
+        if not page.keyed:
+            return [ords, [0] * len(b), [0] * len(b)]
+        return [ords, depth(b, ords, 0), depth(b, ords, 1)]
+
+    return by_page(boxes.select(*PAGE, "ord", *g.Box._fields), kernel, "doc_id long, page_idx int, ord int, idx_x int, idx_y int")

@@ -3,9 +3,11 @@
 import random
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import flow, neighbours
+from foliant.plans.registry import QUERIES
 from foliant.sources import fixtures as fx
 
 DIR = "/root/testdata/sf0.001"
@@ -108,3 +110,17 @@ def test_neighbours_by_extended_edges(spark):
     assert {(r["doc_id"], r["page_idx"], r["ord"]): r["left"] for r in got} == want
     assert [r["left"] for r in neighbours.direct(dets.limit(1)).collect()] == [None]
     assert [(r["idx_x"], r["idx_y"]) for r in neighbours.depths(dets.limit(1)).collect()] == [(0, 0)]
+
+
+@pytest.mark.parametrize("name", ["direct_neighbours", "box_depths"])
+def test_neighbours_need_no_join(spark, name):
+    """Pairs of boxes meet in their page's task: none are written, sorted or held for a whole partition."""
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("name", ["parsed_blocks", "page_status"])
+def test_steps_start_where_others_ended(spark, name):
+    """Self joins of self joins of whole tables are not planned again by each step that follows."""
+    plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and plan.count("Join") <= 4
