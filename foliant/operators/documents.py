@@ -146,15 +146,17 @@ def flagged(lines: DataFrame, boxes: DataFrame, tolerance: float = 1.0) -> DataF
     return lines.join(hits, ["doc_id", "line_no"], "left")
 
 
-def position_groups(boxes: DataFrame, share: float = 0.9, least: int = 3) -> DataFrame:
-    """(doc_id, page_idx, ord, n): boxes that lie, by IoU, where boxes of at least max(least, pages // 4) other pages of the document do.
+def position_groups(boxes: DataFrame, share: float = 0.9, least: int = 3, part: int | None = 4) -> DataFrame:
+    """(doc_id, page_idx, ord, n): boxes that lie, by IoU, where boxes of at least max(least, pages // part) other pages of the document do, or of least other ones without a part.
 
     A document has pages up to the last one with a box.
     """
     a, b = g.box("a."), g.box("b.")
     on = (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page_idx") != F.col("b.page_idx")) & (g.iou(a, b) >= share)
     found = boxes.alias("a").join(boxes.alias("b"), on).groupBy(*[F.col(f"a.{c}").alias(c) for c in (*PAGE, "ord")]).agg(F.count_distinct("b.page_idx").alias("n"))
-    needed = boxes.groupBy("doc_id").agg(F.greatest(F.lit(least), F.floor((F.max("page_idx") + 1) / 4)).alias("needed"))
+    if part is None:
+        return found.where(F.col("n") >= least)
+    needed = boxes.groupBy("doc_id").agg(F.greatest(F.lit(least), F.floor((F.max("page_idx") + 1) / part)).alias("needed"))
     return found.join(needed, "doc_id").where(F.col("n") >= F.col("needed")).select(*PAGE, "ord", "n")
 
 

@@ -79,3 +79,17 @@ def test_position_groups_by_share_of_pages(spark):
     rows += [(3, p, 0, 0.0, 0.0, 10.0, 10.0) for p in (*range(10), 39)]
     docs = spark.createDataFrame(rows, "doc_id long, page_idx int, ord int, x0 double, y0 double, x1 double, y1 double")
     assert sorted({r["doc_id"] for r in documents.position_groups(docs).collect()}) == [2, 3]
+
+
+def test_position_groups_of_many_pages_are_those_of_the_sql(spark, tmp_path):
+    """The query takes three other pages for enough in a document of 40 pages too, as its SQL does."""
+    import duckdb
+
+    from foliant.plans.registry import ORACLES, QUERIES
+
+    text = "\n".join(["a line"] * 32 + [" ".join(["w"] * n) for n in range(1, 288)])
+    spark.createDataFrame([(1, "en", text)], "doc_id long, lang string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = sorted(db.sql(ORACLES["position_groups"]).fetchall())
+    assert len(want) >= 32 and sorted(map(tuple, QUERIES["position_groups"](spark, str(tmp_path)).collect())) == want
