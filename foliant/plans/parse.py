@@ -18,10 +18,12 @@ def parse_pages(dets: DataFrame, page_w: float, page_h: float) -> DataFrame:
     """(page keys, ord, type, layout, label, place, x0, y0, x1, y1): the blocks of each page in reading order.
 
     Detections are cleaned, blocks of a page drawn apart, cut into a layout, and
-    put in the order of layout, then height.
+    put in the order of layout, then height. What several steps start from is
+    computed once and checkpointed.
     """
-    blocks = d.all_blocks(d.without_repeats(d.confident(dets)), page_w, page_h)
-    apart = kernels.separate(blocks)
+    kept = settled(d.without_repeats(settled(d.confident(dets))))
+    blocks = settled(d.all_blocks(kept, page_w, page_h))
+    apart = settled(kernels.separate(blocks))
     kinds = F.create_map(*[F.lit(x) for kv in BLOCK_TYPES.items() for x in kv])
     typed = apart.join(blocks.select(*d.PAGE, "ord", F.element_at(kinds, F.col("category_id")).alias("type")), [*d.PAGE, "ord"])
     placed = typed.join(kernels.xy_cut(apart), [*d.PAGE, "ord"])
@@ -31,14 +33,10 @@ def parse_pages(dets: DataFrame, page_w: float, page_h: float) -> DataFrame:
 
 def page_status(blocks: DataFrame, columns: int = 2) -> DataFrame:
     """(page keys, n_blocks, need_drop, reason): pages whose layout cannot be told, or that have too many columns, are to be dropped."""
-    pages = blocks.groupBy(*d.PAGE).agg(
-        F.count(F.lit(1)).alias("n_blocks"),
-        F.bool_or(F.col("label") == "U").alias("unclear"),
-        F.max(F.when(F.col("label") == "H", F.col("layout"))).alias("h_layout"),
-    )
-    side_by_side = blocks.where("label = 'H'").groupBy(*d.PAGE, "layout").agg(F.count(F.lit(1)).alias("n")).groupBy(*d.PAGE).agg(F.max("n").alias("columns"))
-    df = pages.join(side_by_side, d.PAGE, "left")
-    reason = F.when(F.col("unclear"), "complicated_layout").when(F.coalesce("columns", F.lit(1)) > columns, "too_many_columns")
+    side_by_side = F.count_if(F.col("label") == "H")
+    parts = blocks.groupBy(*d.PAGE, "layout").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.col("label") == "U").alias("unclear"), side_by_side.alias("columns"))
+    df = parts.groupBy(*d.PAGE).agg(F.sum("n").alias("n_blocks"), F.bool_or("unclear").alias("unclear"), F.max("columns").alias("columns"))
+    reason = F.when(F.col("unclear"), "complicated_layout").when(F.col("columns") > columns, "too_many_columns")
     return df.select(*d.PAGE, "n_blocks", reason.isNotNull().alias("need_drop"), reason.alias("reason"))
 
 

@@ -124,3 +124,17 @@ def test_steps_start_where_others_ended(spark, name):
     """Self joins of self joins of whole tables are not planned again by each step that follows."""
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "LogicalRDD" in plan and plan.count("Join") <= 4
+
+
+def test_page_status_by_loops(spark):
+    """Pages are told by their blocks: unclear ones first, then those with over two blocks side by side in a part of the layout."""
+    pages = defaultdict(list)
+    for r in QUERIES["parsed_blocks"](spark, DIR).collect():
+        pages[r["doc_id"], r["page_idx"]].append((r["layout"], r["label"]))
+    want = {}
+    for page, blocks in pages.items():
+        beside = max([sum(b == (layout, "H") for b in blocks) for layout, _ in blocks])
+        reason = "complicated_layout" if any(label == "U" for _, label in blocks) else "too_many_columns" if beside > 2 else None
+        want[page] = (len(blocks), reason is not None, reason)
+    got = {(r["doc_id"], r["page_idx"]): (r["n_blocks"], r["need_drop"], r["reason"]) for r in QUERIES["page_status"](spark, DIR).collect()}
+    assert got == want and len({w[2] for w in want.values()}) > 1
