@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .detections import PAGE, pairs
+from .kernels import Page, by_page
 
 SIDES = ("left", "right", "top", "bottom")
 
@@ -37,6 +39,32 @@ def nearest(items: DataFrame, others: DataFrame, side: str, slack: float = 2.0)
     return found.select(*PAGE, "ord", "best.neighbour", "best.gap")
 
 
+def nearest_by_side(boxes: DataFrame, slack: float = 2.0) -> DataFrame:
+    """(page keys, ord, side, neighbour, gap): nearest() on each of SIDES, of boxes that are an item to those that are not, in one pass over the pages."""
+
+    def kernel(page: Page) -> list | None:
+        item, b, ords = page["item"].astype(bool), page.boxes, page["ord"]
+        own, others = np.flatnonzero(item), np.flatnonzero(~item)
+        if not (page.keyed and len(own) and len(others)):
+            return None
+        (ax0, ay0, ax1, ay1), (x0, y0, x1, y1) = (c[:, None] for c in b[own].T), b[others].T
+        inside = (ax0 >= x0) & (ay0 >= y0) & (ax1 <= x1) & (ay1 <= y1)
+        around = (x0 >= ax0) & (y0 >= ay0) & (x1 <= ax1) & (y1 <= ay1)
+        free = ~inside & ~around & (ords[own][:, None] != ords[others])
+        beside, upright = free & (np.minimum(ay1, y1) > np.maximum(ay0, y0)), free & (np.minimum(ax1, x1) > np.maximum(ax0, x0))
+        gaps = {"left": ax0 - x1, "right": x0 - ax1, "top": ay0 - y1, "bottom": y0 - ay1}
+        found = []
+        for side in SIDES:
+            rule = (gaps[side] >= -slack) & (beside if side in ("left", "right") else upright)
+            gap = np.where(rule, gaps[side], np.inf)
+            rows, nearest = np.flatnonzero(rule.any(axis=1)), gap.argmin(axis=1)
+            found.append((ords[own[rows]], [side] * len(rows), ords[others[nearest[rows]]], gap[rows, nearest[rows]]))
+        at, sides, neighbours, least = zip(*found)
+        return [np.concatenate(at), [x for part in sides for x in part], np.concatenate(neighbours), np.concatenate(least)]
+
+    return by_page(boxes.select(*PAGE, "ord", "item", "x0", "y0", "x1", "y1"), kernel, "doc_id long, page_idx int, ord int, side string, neighbour int, gap double")
+
+
 def edge_boxes(boxes: DataFrame, side: str) -> DataFrame:
     """Boxes with no other beyond them on a side."""
     a, b = g.box("a."), g.box("b.")

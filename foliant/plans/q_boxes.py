@@ -214,13 +214,8 @@ def _nearest_sql() -> str:
 
 @query("nearest_text_by_side", _nearest_sql())
 def nearest_text_by_side(spark, sf_dir):
-    dets = fx.detections(spark, sf_dir)
-    items, others = d.by_category(dets, 3, 5), d.by_category(dets, 1)
-    out = None
-    for side in assign.SIDES:
-        found = assign.nearest(items, others, side).withColumn("side", F.lit(side))
-        out = found if out is None else out.unionByName(found)
-    return out.select("doc_id", "page_idx", "ord", "side", "neighbour", "gap")
+    dets = d.by_category(fx.detections(spark, sf_dir), 1, 3, 5)
+    return assign.nearest_by_side(dets.withColumn("item", F.col("category_id") != 1))
 
 
 @query("left_edge_boxes", f"{DETS} SELECT {A_STAR()} FROM dets a WHERE NOT EXISTS (SELECT 1 FROM dets b WHERE {ON} AND a.ord <> b.ord AND b.x1 <= a.x0 AND {CH} > 0)")

@@ -112,7 +112,7 @@ def test_neighbours_by_extended_edges(spark):
     assert [(r["idx_x"], r["idx_y"]) for r in neighbours.depths(dets.limit(1)).collect()] == [(0, 0)]
 
 
-@pytest.mark.parametrize("name", ["direct_neighbours", "box_depths"])
+@pytest.mark.parametrize("name", ["direct_neighbours", "box_depths", "nearest_text_by_side"])
 def test_neighbours_need_no_join(spark, name):
     """Pairs of boxes meet in their page's task: none are written, sorted or held for a whole partition."""
     plan = QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
