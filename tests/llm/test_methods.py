@@ -423,3 +423,21 @@ def test_cutoffs_take_all_labelled(spark):
                                      F.when(F.col("id") < k, 2).otherwise(0).cast("long").alias("n_symbols"), F.lit(0).cast("long").alias("n_dup_lines"), F.lit(0).cast("long").alias("n_repeat_words"), F.lit(False).alias("base_failed"))
         found = quality.safe_cutoffs(rows, rows.select("doc_id", F.lit(1).alias("quality"))).first()
         assert found["cutoffs"][list(quality.RULES).index("symbols")] == cutoff
+
+
+def test_keys_are_dealt_once_and_texts_not_kept(spark, monkeypatch):
+    """op2, pipeline: what shares a key is found in one shuffle of keys, and only texts of lines that few edits can make alike are written."""
+    sizes = {}
+
+    def kept(df, name, write=components.materialise):
+        done = write(df, name)
+        sizes.setdefault(name, []).append(done.count())
+        return done
+
+    monkeypatch.setattr(components, "materialise", kept)
+    monkeypatch.setattr(line_dedup, "materialise", kept)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    line_dedup.dedup_lines(docs).count()
+    nodes = line_dedup.lines_of(docs).select("k1").distinct().count()
+    assert "shared" not in sizes and "filed" not in sizes
+    assert max(sizes["met"]) < 4 * nodes and max(sizes["texts"]) < nodes / 2
