@@ -82,7 +82,9 @@ SPANS = f"""{LINES}, w AS (SELECT doc_id, page_idx, line_no AS line, unnest(rang
 @query("line_texts", SPANS + """ SELECT doc_id, page_idx, line, string_agg(CASE type WHEN 'inline_equation' THEN ' $' || content || '$ ' WHEN 'interline_equation' THEN chr(10) || '$$' || chr(10) || content || chr(10) || '$$' || chr(10)
     ELSE content || ' ' END, '' ORDER BY x0, ord) AS text FROM spans GROUP BY ALL""")
 def line_texts(spark, sf_dir):
-    w = fx.lines(spark, sf_dir).select("doc_id", "page_idx", F.col("line_no").alias("line"), F.posexplode(F.split("text", " ")).alias("ord", "content"))
+    # Lines are dealt out before they are cut into spans, which takes far less than to deal the spans.
+    lines = fx.lines(spark, sf_dir).select("doc_id", "page_idx", F.col("line_no").alias("line"), "text").repartition("doc_id", "page_idx", "line")
+    w = lines.select("doc_id", "page_idx", "line", F.posexplode(F.split("text", " ")).alias("ord", "content"))
     kind = F.when(F.col("ord") % 7 == 3, "inline_equation").when(F.col("ord") % 19 == 11, "interline_equation").otherwise("text")
     return render.line_text(w.withColumn("x0", (F.col("ord") * 10).cast("double")).withColumn("type", kind))
 
