@@ -160,11 +160,21 @@ def position_groups(boxes: DataFrame, share: float = 0.9, least: int = 3, part:
     return found.join(needed, "doc_id").where(F.col("n") >= F.col("needed")).select(*PAGE, "ord", "n")
 
 
-def watermarks(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """(doc_id, x0, y0, text, n): texts that stand at one place on more than half of a document's pages."""
-    total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"))
-    same = lines.groupBy("doc_id", "x0", "y0", "text").agg(F.count(F.lit(1)).alias("n"))
-    return same.join(total, "doc_id").where(F.col("n") > F.floor(F.col("pages") / 2)).select("doc_id", "x0", "y0", "text", "n")
+def watermarks(lines: DataFrame, pages: DataFrame, least: int = 1) -> DataFrame:
+    """(doc_id, x0, y0, text, n): texts that stand at one place on more than half of a document's pages, for documents of at least `least` pages.
+
+    Counts by a hash of the text, whose rows are narrow, leave few candidates, and texts
+    are counted of these only: lines stream past the candidates of their partition, so
+    that no task holds or sorts the texts of all lines.
+    """
+    total = pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= least)
+    often = F.col("n") > F.floor(F.col("pages") / 2)
+    place = [F.col("doc_id"), F.col("x0"), F.col("y0")]
+    hashed = lines.groupBy(*place, F.xxhash64("text").alias("h")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > least // 2)
+    found = hashed.join(total, "doc_id").where(often).select(F.col("doc_id").alias("c_doc"), F.col("x0").alias("c_x0"), F.col("y0").alias("c_y0"), "h", "pages")
+    on = (F.col("doc_id") == F.col("c_doc")) & F.col("x0").eqNullSafe(F.col("c_x0")) & F.col("y0").eqNullSafe(F.col("c_y0")) & (F.xxhash64("text") == F.col("h"))
+    same = lines.join(found.hint("shuffle_hash"), on).groupBy(*place, "text", "pages").agg(F.count(F.lit(1)).alias("n"))
+    return same.where(often).select("doc_id", "x0", "y0", "text", "n")
 
 
 def main_font(lines: DataFrame) -> DataFrame:
