@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
 from .detections import PAGE, pairs
-from .lines import islands
+from .kernels import Page, by_page
 
 #: Kinds of the other detector by name, as numbers of ours.
 OTHER_KINDS = {"title": 0, "text": 1, "reference": 1, "figure": 3, "figure_caption": 4, "table": 5, "table_caption": 6, "equation": 8, "header": 2, "footer": 2}
@@ -50,13 +51,22 @@ def merged_rules(drawings: DataFrame, thick: float = 3.0, row: float = 5.0, gap:
     A stroke is at most `thick` high; rows are runs by y with steps of at most `row`,
     and on a row a rule ends where the next stroke starts `gap` or more to the right.
     """
-    strokes = drawings.where(F.col("y1") - F.col("y0") <= thick)
-    down = Window.partitionBy(*PAGE).orderBy("y0", "ord")
-    rows = islands(strokes.withColumn("far", F.col("y0") - F.lag("y0").over(down) > row), PAGE, [F.col("y0"), F.col("ord")], F.col("far"), "row")
-    along = Window.partitionBy(*PAGE, "row").orderBy("x0", "ord").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("far", F.col("x0") - F.max("x1").over(along) >= gap)
-    rules = islands(rows, [*PAGE, "row"], [F.col("x0"), F.col("ord")], F.col("far"), "rule")
-    return rules.groupBy(*PAGE, "row", "rule").agg(*g.union_of(), F.count(F.lit(1)).alias("n")).drop("row", "rule")
+    strokes = drawings.where(F.col("y1") - F.col("y0") <= thick).select(*PAGE, "ord", *g.Box._fields)
+
+    def kernel(page: Page) -> list:
+        b = page.boxes
+        # strokes come by y0, then ord; a row begins where the step is too far
+        rows = np.cumsum(np.append(True, ~(np.diff(b[:, 1]) <= row)))
+        b = b[np.lexsort((page["ord"], np.where(np.isnan(b[:, 0]), -np.inf, b[:, 0]), rows))]
+        rows.sort()
+        starts = np.ones(len(b), dtype=bool)
+        for a, z in zip(*(lambda at: (at[:-1], at[1:]))(np.append(np.flatnonzero(np.diff(rows, prepend=0)), len(b)).tolist())):
+            starts[a + 1 : z] = ~(b[a + 1 : z, 0] - np.fmax.accumulate(b[a : z - 1, 2]) < gap)
+        at = np.flatnonzero(starts)
+        low, high = np.fmin.reduceat(b, at, axis=0), np.fmax.reduceat(b, at, axis=0)
+        return [low[:, 0], low[:, 1], high[:, 2], high[:, 3], np.diff(np.append(at, len(b)))]
+
+    return by_page(strokes, kernel, "doc_id long, page_idx int, x0 double, y0 double, x1 double, y1 double, n long", ("y0", "ord"))
 
 
 def splitters(rects: DataFrame, solid: DataFrame, page_w: float) -> DataFrame:
