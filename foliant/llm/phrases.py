@@ -1,19 +1,18 @@
-"""Phrases whose words come together more often than by chance, counted by slots of minimal perfect hash functions.
+"""Phrases whose words come together more often than by chance, counted in two passes over the texts.
 
-Three passes over the texts:
   1. mappers count words, pairs and triples by hashed buckets in NumPy arrays; only
      whether a bucket reaches the least count matters, so arrays hold counts up to it
      in bytes, and they are added up in a tree;
   2. phrases whose bucket, and the buckets of all phrases within them, reach the
      least count are candidates: no frequent phrase is lost (Apriori), whatever
-     buckets are shared;
-  3. minimal perfect hash functions give each candidate a slot, where its key is
-     stored. Mappers look phrases up, verify the key, and count by slot; the arrays
-     are added up in a tree.
-The parts of candidates are candidates too, so cuts are read by slot.
-
-A phrase's key is a hash of 128 bits of its language and words; of 10^10 phrases two
-share one with a probability of 10^-19.
+     buckets are shared. Mappers add up each candidate's occurrences as far as they
+     can hold candidates, and Spark adds up what they tell, by language and phrase.
+The parts of frequent phrases are frequent too, so cuts are read by joins of these.
+
+Two passes are enough for any number of candidates. A mapper tells phrases apart by a
+hash of 128 bits of language and words; of 10^10 phrases two share one with a
+probability of 10^-19. Minimal perfect hash functions (`build`, `Slots`) give keys
+slots with the key stored, for callers whose keys fit in memory.
 """
 
 from __future__ import annotations
@@ -39,12 +38,12 @@ FEWEST_BUCKETS, MOST_BUCKETS = 1 << 20, 1 << 28
 MAPPER = 1 << 26
 #: Entries of an array that make up a row.
 RUN = 1 << 16
-#: Candidates of one hash function, and those that are counted in one pass: 16 bytes each are stored in every worker, and 8 for its count.
-PART, PASS = 1 << 17, 1 << 22
+#: Rows that a mapper puts out at once, and candidates that it holds: some 60 bytes each.
+PART, PASS = 1 << 17, 1 << 21
 #: Words that are looked at together, those that a worker knows by number, and the bytes that are taken apart at once.
 WORDS, KNOWN, SLICE = 1 << 18, 1 << 18, 1 << 20
-#: Buckets of a length that a task gathers before it counts them, and keys of candidates that it has told and tells no more.
-GATHERED, TOLD = 1 << 22, 1 << 20
+#: Buckets of a length that a task gathers before it counts them.
+GATHERED = 1 << 22
 #: Arrays that one task adds up at a level of the tree.
 FAN = 32
 
@@ -245,65 +244,73 @@ def passing(found: list[tuple[np.ndarray, np.ndarray]], bits: np.ndarray) -> lis
     return out
 
 
-# Pass 2: candidates
+# Pass 2: candidates and their counts
 
-_TOLD = [("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]
-CANDIDATE = "lang string, phrase string, n long, k int, hi long, lo long"
+COUNTED = "lang string, phrase string, n long"
 
 
-def candidates(texts: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(lang, phrase, n, k, hi, lo), a row for each candidate of k words, with n null, and one for each language, with k = 0 and n, its words."""
+class Tally:
+    """Counts by keys of 128 bits, sorted by the first half; phrases and counts are in the order in which keys came."""
+
+    def __init__(self):
+        self.keys, self.place, self.counts = np.empty((2, 0), np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.phrases: list[tuple[str, pa.Array]] = []
+
+    def __len__(self) -> int:
+        return len(self.counts)
+
+    def add(self, keys: np.ndarray) -> np.ndarray:
+        """Count keys; for each that is new, in order, where it is among keys. One whose first half is another's may come as new again."""
+        order = np.argsort(keys[0])
+        keys = keys[:, order]
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0))) if len(order) else order
+        counts, keys = np.diff(np.append(starts, len(order))), keys[:, starts]
+        at = np.searchsorted(self.keys[0], keys[0])
+        known = at < len(self)
+        known[known] = (self.keys[:, at[known]] == keys[:, known]).all(axis=0)
+        np.add.at(self.counts, self.place[at[known]], counts[known])
+        new = ~known
+        self.place = np.insert(self.place, at[new], np.arange(len(self), len(self) + new.sum()))
+        self.keys = np.insert(self.keys, at[new], keys[:, new], axis=1)
+        self.counts = np.append(self.counts, counts[new])
+        return order[starts[new]]
+
+    def rows(self, most: int) -> Iterator[pa.RecordBatch]:
+        start = 0
+        for lang, phrases in self.phrases:
+            for at in range(0, len(phrases), most):
+                own = phrases.slice(at, most)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(own)), own, pa.array(self.counts[start + at : start + at + len(own)])], names=["lang", "phrase", "n"])
+            start += len(phrases)
+
+
+def candidate_counts(texts: DataFrame, bits: np.ndarray, part: int = PART, pass_: int = PASS) -> DataFrame:
+    """(lang, phrase, n): the occurrences of each candidate, and for each language with the empty phrase its words."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)
 
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, known = Numbers(), [np.empty(0, np.uint64) for _ in range(WIDEST)]
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, tally, totals = Numbers(), Tally(), {}
         for lang, ids, own in stretches(batches, numbers):
             found = keys_of(ids, numbers, lang)
-            yield _rows([(lang, "", int(found[0][0][:own].sum()))], _TOLD)
+            totals[lang] = totals.get(lang, 0) + int(found[0][0][:own].sum())
             words = numbers.words
             for k, ((_, keys), good) in enumerate(zip(found, passing(found, shared.value)), 1):
-                own_keys, first = np.unique(keys[0][:own][good[:own]], return_index=True)
-                at = np.flatnonzero(good[:own])[first]
-                # A key that was told already needs no second row; which ones are remembered does not matter.
-                place = np.searchsorted(known[k - 1], own_keys)
-                new = np.append(known[k - 1], ~own_keys[-1:])[place] != own_keys
-                at = at[new]
-                known[k - 1] = np.insert(known[k - 1], place[new], own_keys[new]) if len(known[k - 1]) < TOLD else own_keys
-                listed = ids[at[:, None] + np.arange(k)].tolist()
-                phrases = [b" ".join([words[i] for i in p]) for p in listed]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.nulls(len(at), pa.int64())], names=[n for n, _ in _TOLD])
-
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Numbers()
-        for batch in batches:
-            k, keys = np.zeros(batch.num_rows, np.int32), np.zeros((2, batch.num_rows), np.uint64)
-            for own, starts, lengths, found in listed_phrases(batch, numbers):
-                k[own] = lengths
-                for length, (_, all_keys) in enumerate(found, 1):
-                    of = np.flatnonzero(lengths == length)
-                    keys[:, own[of]] = all_keys[:, starts[of]]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(k), *(pa.array(x.view(np.int64)) for x in keys)], names=["lang", "phrase", "n", "k", "hi", "lo"])
-
-    rows = texts.mapInArrow(told, "lang string, phrase string, n long")
-    return rows.groupBy("lang", "phrase").agg(F.sum("n").alias("n")).mapInArrow(keyed, CANDIDATE)
+                at = np.flatnonzero(good[:own])
+                at = at[tally.add(keys[:, at])]
+                phrases = [b" ".join([words[i] for i in p]) for p in ids[at[:, None] + np.arange(k)].tolist()]
+                tally.phrases.append((lang, pa.array(phrases, pa.binary()).cast(pa.string())))
+            if len(tally) >= pass_:
+                yield from tally.rows(part)
+                tally = Tally()
+        yield from tally.rows(part)
+        schema = [("lang", pa.string()), ("phrase", pa.string()), ("n", pa.int64())]
+        yield _rows([(lang, "", n) for lang, n in totals.items()], schema)
 
+    # Dealt out first: a mapper tells a candidate seldom twice, so that partial sums before the shuffle would not pay.
+    return texts.mapInArrow(counted, COUNTED).repartition("lang", "phrase").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
 
-def listed_phrases(batch: pa.RecordBatch, numbers: Numbers) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list]]:
-    """For each language of rows (lang, phrase, ...): its rows with words, where each one's phrase starts in a text of all, its words, and keys_of() that text."""
-    if len(numbers) > KNOWN:
-        numbers.reset()
-    langs, phrases = np.array(batch.column(0).to_pylist(), object), batch.column(1).cast(pa.binary()).to_pylist()
-    some = np.array([bool(p) for p in phrases], bool)
-    for lang in sorted(set(langs.tolist())):
-        own = np.flatnonzero((langs == lang) & some)
-        ids = numbers.of(b"\n".join(phrases[i] for i in own))
-        starts = np.append(0, np.flatnonzero(ids == BREAK) + 1)[: len(own)]
-        lengths = np.diff(np.append(starts, len(ids) + 1)) - 1
-        # Lengths that reach beyond the end are asked for by no phrase.
-        yield own, starts, lengths, keys_of(np.append(ids, np.zeros(WIDEST, np.int32)), numbers, lang)
 
-
-# Pass 3: counts by slots
+# Slots of keys that fit in memory
 
 
 def build(hi: np.ndarray, lo: np.ndarray, spread: float = 1.5) -> tuple[list[int], np.ndarray, np.ndarray]:
@@ -384,68 +391,8 @@ class Slots:
         return np.where(known, slots, -1)
 
 
-BUILT = "part int, sizes array<int>, bits binary, keys binary"
-
-
-def _built(group: pa.Table) -> pa.Table:
-    hi, lo = (group.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo"))
-    sizes, words, slots = build(hi, lo)
-    keys = np.empty((2, len(hi)), np.uint64)
-    keys[:, slots] = hi, lo
-    schema = [("part", pa.int32()), ("sizes", pa.list_(pa.int32())), ("bits", pa.binary()), ("keys", pa.binary())]
-    return pa.Table.from_batches([_rows([(group.column("part")[0].as_py(), sizes, words.tobytes(), keys.tobytes())], schema)])
-
-
-def counts_by_slot(texts: DataFrame, slots, bits, size: int) -> np.ndarray:
-    """How often the phrase of each slot occurs; slots and bits are broadcasts."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, own_slots = Numbers(), slots.value
-        total = np.zeros(len(own_slots), np.int64)
-        for lang, ids, own in stretches(batches, numbers):
-            found = keys_of(ids, numbers, lang)
-            for (_, keys), good in zip(found, passing(found, bits.value)):
-                at = own_slots.find(keys[:, : len(good)][:, :own][:, good[:own]])
-                total += np.bincount(at[at >= 0], minlength=len(total))
-        for run in range(0, len(total), RUN):
-            if total[run : run + RUN].any():
-                yield _rows([_array_rows(0, run // RUN, total[run : run + RUN])], _ARRAY)
-
-    arrays = tree_sum(texts.mapInArrow(counted, ARRAY), texts.rdd.getNumPartitions(), np.add, "i8")
-    total = np.zeros(size, np.int64)
-    for r in arrays.select("run", "data").toLocalIterator():
-        own = np.frombuffer(zstandard.decompress(r["data"]), np.int64)
-        total[r["run"] * RUN : r["run"] * RUN + len(own)] = own
-    return total
-
-
-READ = "lang string, phrase string, k int, counts array<long>"
-
-
-def read_cuts(rows: DataFrame, slots, counts) -> DataFrame:
-    """rows (lang, phrase, k, counts) with the counts of slots added to those of the phrase and, for each cut, of its first part and its rest."""
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, own_slots, own_counts = Numbers(), slots.value, np.append(counts.value, 0)  # the last by slot -1
-        for batch in batches:
-            added = np.array(batch.column(3).flatten().to_numpy()).reshape(batch.num_rows, -1)
-            for own, starts, lengths, found in listed_phrases(batch, numbers):
-                found = [own_counts[own_slots.find(keys)] for _, keys in found]
-                for k in range(1, WIDEST + 1):
-                    of = np.flatnonzero(lengths == k)
-                    at, of = starts[of], own[of]
-                    added[of, 0] += found[k - 1][at]
-                    for cut in range(1, k):
-                        added[of, 2 * cut - 1] += found[cut - 1][at]
-                        added[of, 2 * cut] += found[k - cut - 1][at + cut]
-            ends = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * added.shape[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(ends, pa.array(added.reshape(-1)))], names=["lang", "phrase", "k", "counts"])
-
-    return rows.mapInArrow(read, READ)
-
-
 def frequent(texts: DataFrame, least: int, part: int, pass_: int) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, k, counts) of all phrases that occur `least` times or more, and (lang, n)."""
+    """(lang, phrase, a) of all phrases that occur `least` times or more, and (lang, n)."""
     spark = texts.sparkSession
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = FEWEST_BUCKETS
@@ -453,25 +400,9 @@ def frequent(texts: DataFrame, least: int, part: int, pass_: int) -> tuple[DataF
         buckets *= 2
     mappers = max(2 * spark.sparkContext.defaultParallelism, -(-size // MAPPER))
     texts = texts.coalesce(mappers)
-    bits = bucket_bits(texts, buckets, least)
-    found = materialise(candidates(texts, bits), "candidates")
-    totals = found.where("k = 0").select("lang", "n")
-    found = found.where("k > 0").drop("n")
-    n = found.count()
-    parts = max(1, -(-n // part))
-    found = found.withColumn("part", F.expr(f"cast(pmod(cast(pmod(lo, {parts}) as bigint) + case when lo < 0 then {(1 << 64) % parts} else 0 end, {parts}) as int)"))
-    built = materialise(found.select("part", "hi", "lo").groupBy("part").applyInArrow(_built, BUILT), "slots")
-    rows = found.select("lang", "phrase", "k", F.array_repeat(F.lit(0).cast("long"), 2 * WIDEST - 1).alias("counts"))
-    shared_bits = spark.sparkContext.broadcast(bits)
-    each = max(1, pass_ // part)
-    for at in range(0, parts, each):
-        listed = [tuple(r) for r in built.where((F.col("part") >= at) & (F.col("part") < at + each)).toLocalIterator()]
-        own = Slots(parts, listed)
-        slots = spark.sparkContext.broadcast(own)
-        counts = spark.sparkContext.broadcast(counts_by_slot(texts, slots, shared_bits, len(own)))
-        rows = materialise(read_cuts(rows, slots, counts), "counts")
-        slots.unpersist(), counts.unpersist()
-    return rows.where(F.col("counts")[0] >= least), totals
+    found = candidate_counts(texts, bucket_bits(texts, buckets, least), part, pass_)
+    found = materialise(found.where((F.col("n") >= least) | (F.col("phrase") == "")), "frequent")
+    return found.where("phrase <> ''").withColumnRenamed("n", "a"), found.where("phrase = ''").select("lang", "n")
 
 
 def _score(a: Column, l: Column, r: Column) -> Column:  # noqa: E741
@@ -493,17 +424,22 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, within: in
     a, both from the highest, then by phrase in UTF-8 order. Repeated rows count as
     often as they are there; no rows give no rows; columns but lang and text are not read.
 
-    What reaches the driver and each worker is bounded: bits of buckets, and the hash
-    functions and counts of one pass's candidates. More candidates take more passes.
+    What reaches the driver and each worker is bounded, and so are the passes over
+    the texts: bits of buckets, and in a worker `pass_` candidates with their counts,
+    which it puts out in rows of `part` when it holds as many.
     """
     ship(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found, totals = frequent(texts, least, part, pass_)
-    counts = F.col("counts")
-    rows = found.where("k > 1").select("lang", "phrase", "k", counts[0].alias("a"), counts)
-    cuts = [F.struct(_score(counts[0], counts[2 * c - 1], counts[2 * c]).alias("score"), F.lit(c).alias("cut"), counts[2 * c - 1].alias("l"), counts[2 * c].alias("r")) for c in range(1, WIDEST)]
-    lowest = F.array_min(F.array_compact(F.array(cuts[0], *[F.when(F.col("k") > c, x) for c, x in enumerate(cuts[1:], 2)])))
-    rows = rows.select("lang", "phrase", "k", "a", lowest.alias("low")).select("lang", "phrase", "k", "a", "low.l", "low.r", "low.score")
+    rows = found.withColumn("k", F.size(F.split("phrase", " "))).where("k > 1")
+    cuts = rows.select("*", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
+    side = lambda words: F.call_function("substring_index", "phrase", F.lit(" "), words)
+    cuts = cuts.select("*", side(F.col("cut")).alias("head"), side(F.col("cut") - F.col("k")).alias("rest"))
+    cuts = cuts.join(found.select("lang", F.col("phrase").alias("head"), F.col("a").alias("l")), ["lang", "head"])
+    cuts = cuts.join(found.select("lang", F.col("phrase").alias("rest"), F.col("a").alias("r")), ["lang", "rest"])
+    low = F.min(F.struct(_score(F.col("a"), F.col("l"), F.col("r")).alias("score"), "cut", "l", "r")).alias("low")
+    rows = cuts.groupBy("lang", "phrase", "k", "a").agg(low).select("lang", "phrase", "k", "a", "low.l", "low.r", "low.score")
+    rows = materialise(rows, "scored")
     words = F.split("phrase", " ")
     longer = rows.where("k = 3").select("lang", "a", F.explode(F.array(F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 2, 2), " "))).alias("phrase"))
     most = longer.groupBy("lang", "phrase").agg(F.max("a").alias("inside"))

@@ -190,3 +190,30 @@ def test_words_in_slices(monkeypatch):
     monkeypatch.setattr(phrases, "WORDS", 64)
     parts = list(phrases._split("en", [whole]))
     assert sum(own for _, _, own in parts) == len(whole) and all(len(ids) <= own + 2 for _, ids, own in parts)
+
+
+def test_phrases_take_two_passes(spark):
+    """op13: texts are read once for their size and twice to count, however many candidates there are and however few a worker holds."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def read(text: str) -> str:
+        seen.add(1)
+        return text
+
+    rng = random.Random(4)
+    table = spark.createDataFrame([("en", " ".join(rng.choices(["a", "b", "c", "d", "e", "f"], k=60))) for _ in range(40)], "lang string, text string")
+    table = table.select("lang", F.udf(read, "string")("text").alias("text"))
+    assert phrases.collocations(table, least=2, part=7, pass_=21).count() > 40
+    assert seen.value <= 3 * 40
+
+
+def test_tally_adds_up_by_both_halves():
+    tally, rng = phrases.Tally(), np.random.default_rng(1)
+    keys, want = rng.integers(0, 4, (2, 6000)).astype(np.uint64), {}
+    for part in np.split(keys, 6, axis=1):
+        new = tally.add(part)
+        tally.phrases.append(("en", phrases.pa.array([f"{a} {b}" for a, b in part[:, new].T.tolist()])))
+    for batch in tally.rows(5):
+        for phrase, n in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            want[phrase] = want.get(phrase, 0) + n
+    assert want == {f"{a} {b}": int(((keys[0] == a) & (keys[1] == b)).sum()) for a in range(4) for b in range(4)}
