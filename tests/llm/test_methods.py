@@ -441,3 +441,11 @@ def test_keys_are_dealt_once_and_texts_not_kept(spark, monkeypatch):
     nodes = line_dedup.lines_of(docs).select("k1").distinct().count()
     assert "shared" not in sizes and "filed" not in sizes
     assert max(sizes["met"]) < 4 * nodes and max(sizes["texts"]) < nodes / 2
+
+
+def test_word_classes_are_in_no_plan(spark):
+    """op2, pipeline: what tells rare words reaches tasks by a subquery, neither as text of a plan nor as a column of rows."""
+    lines = line_dedup.lines_of(spark.read.parquet(f"{DIR}/documents.parquet"))
+    filed = line_dedup.filed_by_rarest(lines)
+    assert len(filed._jdf.queryExecution().toString()) < 200_000
+    assert "AS classes" not in filed._jdf.queryExecution().optimizedPlan().toString()
