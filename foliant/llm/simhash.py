@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, ship
+from .common import materialise, scratch, ship
 from .components import connected_components, linked_groups
 
 SEED = 42
@@ -285,8 +285,10 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = SIMILARITY) ->
     if their group has no other, one of them: that of the smallest hash of its
     columns, so that reruns agree. Texts without words are one group.
     """
-    found = similar_documents(docs, width, similarity)
-    firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+    with scratch(docs.sparkSession, keep="firsts"):
+        found = similar_documents(docs, width, similarity)
+        firsts = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
+        firsts = materialise(firsts, "firsts")
     left = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     tie = left.select(F.col("doc_id").alias("tie_id"), F.xxhash64(*[F.to_json(F.struct(c)) for c in left.columns]).alias("tie"))
     repeated = materialise(tie.groupBy("tie_id").agg(F.min("tie").alias("least"), F.count(F.lit(1)).alias("rows")).where("rows > 1"), "repeated")

@@ -449,3 +449,19 @@ def test_word_classes_are_in_no_plan(spark):
     filed = line_dedup.filed_by_rarest(lines)
     assert len(filed._jdf.queryExecution().toString()) < 200_000
     assert "AS classes" not in filed._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("stage", ["line_dedup", "simhash_near_dedup"])
+def test_stages_leave_little_in_the_shared_folder(spark, stage):
+    """pipeline: a stage's own tables go before its result is read, but for the one that the result needs."""
+    import os
+
+    import corpus_pipeline
+    from foliant.llm import common
+
+    place = common.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(place))
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    found = dict(corpus_pipeline.STAGES)[stage](spark, docs, DIR)
+    assert len(set(os.listdir(place)) - before) <= 2
+    assert 0 < found.count() <= docs.count()
