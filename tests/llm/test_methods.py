@@ -465,3 +465,27 @@ def test_stages_leave_little_in_the_shared_folder(spark, stage):
     found = dict(corpus_pipeline.STAGES)[stage](spark, docs, DIR)
     assert len(set(os.listdir(place)) - before) <= 2
     assert 0 < found.count() <= docs.count()
+
+
+def test_letters_tell_no_similar_lines_apart(spark):
+    """op2, pipeline: counts of letters drop many pairs of unlike lines before an alignment, here mostly edited copies of one line, and no pair that is alike."""
+    rng = random.Random(41)
+    lines = varied_lines(rng, [4, 8, 15, 20], 10, 0.3) + ["é" * 9, "é" * 10 + "a"]
+    lines += [typos(rng, line, rng.uniform(0.05, 0.25)) for line in lines if len(line) > 9]
+    pairs = [(a, b) for a in lines for b in lines if a < b and abs(len(a) - len(b)) <= 0.2 * max(len(a), len(b))]
+    a, b = F.col("a"), F.col("b")
+    sides = spark.createDataFrame(pairs, "a string, b string").select("a", "b", line_dedup.letters_of(a).alias("x"), line_dedup.letters_of(b).alias("y"))
+    got = sides.select("a", "b", line_dedup.letters_differ(F.col("x"), F.col("y"), F.char_length(a), F.char_length(b), 0.8).alias("far")).collect()
+    assert not any(r["far"] and alike(r["a"], r["b"]) for r in got)
+    unlike = [r["far"] for r in got if not alike(r["a"], r["b"])]
+    assert sum(unlike) > 0.2 * len(unlike)
+
+
+def test_rounds_of_few_links_wait(spark, monkeypatch):
+    """op2, pipeline: links of a round that finds few are joined with the last ones, so that components are not told once more for them; none is lost."""
+    told = []
+    monkeypatch.setattr(components, "connected_components", lambda edges, run=components.connected_components: told.append(1) or run(edges))
+    filed = spark.createDataFrame([(1, v) for v in range(400)], "key long, v long")
+    found = components.linked_groups(filed, F.lit(True), lambda pairs: pairs.where((F.floor(F.col("a") / 2) == F.floor(F.col("b") / 2))))
+    assert {(r["node"], r["root"]) for r in found.collect()} == {(v, v // 2 * 2) for v in range(400)}
+    assert len(told) == 2
