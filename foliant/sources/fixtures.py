@@ -126,6 +126,32 @@ def spans_with_chars(spark: SparkSession, sf_dir: str, wide: int = 12) -> DataFr
     return lns.mapInArrow(cut, schema)
 
 
+def lines_in_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, page_idx, block_no, line_no, x0, y0, x1, y1, text): the lines that spans_with_chars() cuts, whole."""
+    block = F.floor(F.col("line_no") % 8 / 4).cast("int")
+    return lines(spark, sf_dir).where("text <> ''").select("doc_id", "page_idx", block.alias("block_no"), "line_no", "x0", "y0", "x1", "y1", "text")
+
+
+def spans_of_page(page: dict, wide: int = 12) -> dict:
+    """The spans of spans_with_chars() of a page's lines_in_blocks() in order, as inline.with_formulas_in_lines() takes them."""
+    texts, sides = page["text"], [page[c].astype(float) for c in ("x0", "y0", "x1", "y1")]
+    left, top, right, bottom = sides
+    blocks = np.append(0, np.cumsum(page["block_no"][1:] != page["block_no"][:-1]))
+    begins = np.append(0, np.flatnonzero(np.diff(blocks)) + 1)
+    around = [f.reduceat(v, begins)[blocks] for f, v in zip((np.minimum, np.minimum, np.maximum, np.maximum), sides)]
+    sizes = np.array([len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    x = [left[row] + (nth + k) * (right - left)[row] / sizes[row] for k in (0, 1)]
+    starts = np.flatnonzero(nth % wide == 0)
+    ends = np.append(starts[1:], len(row))
+    at, letters = row[starts], "".join(texts)
+    parts = lambda v: [v[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
+    own = {"line": at, "x0": x[0][starts], "y0": top[at], "x1": x[1][ends - 1], "y1": bottom[at]}
+    own |= {"letters": [list(p) for p in parts(letters)], "lefts": parts(x[0]), "tops": parts(top[row]), "rights": parts(x[1]), "bottoms": parts(bottom[row])}
+    return own | {f"{of}_{c}": v[at] for of, box in (("line", sides), ("block", around)) for c, v in zip(("x0", "y0", "x1", "y1"), box)}
+
+
 def inline_formulas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, page_idx, ord, latex, x0, y0, x1, y1): up to three formulas over the characters of each line, some between two lines or beyond its end."""
     lns = lines(spark, sf_dir).where("text <> ''")

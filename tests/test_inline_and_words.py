@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from foliant.operators import inline, segment
+from foliant.plans import registry
 from foliant.sources import fixtures as fx
 
 DIR = "/root/testdata/sf0.001"
@@ -139,3 +140,11 @@ def test_spans_are_dealt_out_once(spark):
     """Characters weigh far more than all else, so no join or window may shuffle them again."""
     plan = inline.with_inline_formulas(fx.spans_with_chars(spark, DIR), fx.inline_formulas(spark, DIR))._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "row_number" not in plan
+
+
+def test_query_deals_out_lines_and_not_their_characters(spark):
+    df = registry.QUERIES["inline_formulas"](spark, DIR)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Repartition" in plan and "letters" not in plan and "lefts" not in plan
+    want = inline.with_inline_formulas(fx.spans_with_chars(spark, DIR), fx.inline_formulas(spark, DIR))
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
