@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import assign, content, kernels, tying
 from ..operators import detections as d
-from ..operators.settle import settled
+from ..operators.settle import settled, steps
 
 BLOCK_TYPES = {0: "title", 1: "text", 2: "text", 3: "image", 5: "table", 14: "interline_equation"}
 
@@ -87,12 +87,15 @@ def page_contents(dets: DataFrame, contents: DataFrame, path: Callable[[Column,
     order; of two side by side the smaller goes. Spans on abandoned boxes are left
     out, the others go to the first block that holds them. Blocks that hold no span
     have no row; a page without detections has none. What several steps start from is
-    computed once and checkpointed.
+    computed once and checkpointed, and goes when blocks and spans are done. These stay
+    until the driver ends, and so does what order gets, which may keep a frame of it.
     """
-    sure = settled(d.confident(dets))
-    kept = settled(d.without_repeats(sure))
-    blocks = settled(order(settled(blocks_with_parts(kept, page_w, page_h))))
-    blocks = blocks.join(kernels.drop_until_apart(blocks), [*d.PAGE, "ord"], "left_semi")
-    spans = d.without_those_on(page_spans(sure, contents), d.by_category(kept, 2), content.IN_DISCARDED)
+    with steps(dets.sparkSession):
+        sure = settled(d.confident(dets))
+        kept = settled(d.without_repeats(sure))
+        with steps(dets.sparkSession):
+            placed = settled(order(settled(blocks_with_parts(kept, page_w, page_h), keep=True)))
+            blocks = settled(placed.join(kernels.drop_until_apart(placed), [*d.PAGE, "ord"], "left_semi"), keep=True)
+        spans = settled(d.without_those_on(page_spans(sure, contents), d.by_category(kept, 2), content.IN_DISCARDED), keep=True)
     held = content.filled(blocks, spans).where("block.type is not null")
     return content.block_texts(content.part_texts(content.in_parts(held)), path)

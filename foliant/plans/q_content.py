@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import content
+from ..operators.settle import settled, steps
 from ..sources import fixtures as fx
 from . import parse
 from .q_arrangement import _corners, _tied_sql
@@ -28,13 +29,16 @@ def page_evidence(spark, sf_dir):
     )
 
 
-def contents(spark, sf_dir):
-    """(page keys, ord, content): words of the document of the same number, as many to a page as it has detections; tables have
-    a formula where the word is short."""
-    words = fx.read(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("w"))
-    dets = page_evidence(spark, sf_dir).select("doc_id", "page_idx", "ord", "category_id")
-    word = F.coalesce(F.try_element_at("w", F.col("page_idx") * 40 + F.col("ord")), F.concat(F.lit("w"), F.col("ord").cast("string")))
-    said = dets.join(words, "doc_id", "left").select("doc_id", "page_idx", "ord", "category_id", word.alias("content"))
+def contents(spark, sf_dir, evidence=None):
+    """(page keys, ord, content): words of the document of the same number, as many to a page as it has detections, which are
+    numbered anew if evidence does not have them; tables have a formula where the word is short."""
+    docs = fx.read(spark, sf_dir, "documents").select("doc_id", "text")
+    dets = page_evidence(spark, sf_dir) if evidence is None else evidence
+    # Texts are dealt out as they are, since an array of words weighs several times as much, and cut once a document.
+    by_doc = dets.groupBy("doc_id").agg(F.collect_list(F.struct("page_idx", "ord", "category_id")).alias("dets")).join(docs, "doc_id", "left")
+    word = lambda w, x: F.coalesce(F.try_element_at(w, x["page_idx"] * 40 + x["ord"]), F.concat(F.lit("w"), x["ord"].cast("string")))
+    named = lambda w: F.transform("dets", lambda x: x.withField("content", word(w, x)))
+    said = by_doc.select("doc_id", F.explode(F.transform(F.array(F.split("text", " ")), named)[0]).alias("x")).select("doc_id", "x.*")
     return said.select("doc_id", "page_idx", "ord", F.when(~F.col("category_id").isin(3, 5) | (F.char_length("content") < 6), F.col("content")).alias("content"))
 
 
@@ -118,7 +122,9 @@ MARKDOWN_SQL = f"""{EVIDENCE}, {BLOCKS}, {SPANS}, md AS (SELECT doc_id, page_idx
 
 
 def _contents(spark, sf_dir, order):
-    return parse.page_contents(page_evidence(spark, sf_dir), contents(spark, sf_dir), path, fx.PAGE_W, fx.PAGE_H, order)
+    with steps(spark):
+        evidence = settled(page_evidence(spark, sf_dir))
+        return parse.page_contents(evidence, contents(spark, sf_dir, evidence), path, fx.PAGE_W, fx.PAGE_H, order)
 
 
 @query("page_contents", CONTENTS_SQL)

@@ -1,5 +1,6 @@
 """From spans and blocks to text and markdown: small pages by hand, a whole table against loops."""
 
+import os
 import re
 
 from pyspark.sql import functions as F
@@ -123,3 +124,27 @@ def test_laid_out_pages_against_loops(spark):
             rows[key] = (b.type, None, said(caption) if caption else None, said(note) if note else None, body is not None)
     assert len(rows) > 50 and {r[0] for r in rows.values()} == {"text", "title", "image", "table", "interline_equation"}
     assert {k: (r.type, r.text, r.caption, r.note, r.img_path is not None) for k, r in got.items()} == rows
+
+
+def test_only_blocks_and_spans_stay_on_disk(spark):
+    """What steps settle goes when the next ones are done, and their shuffles go with them."""
+    sc = spark.sparkContext
+    tables = lambda: {f.getPath().toString() for f in fs.listStatus(folder)}
+    q_content.settled(spark.range(1))
+    folder = sc._jvm.org.apache.hadoop.fs.Path(sc.getCheckpointDir())
+    fs = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    before = tables()
+    df = q_content.page_contents(spark, DIR)
+    left = tables() - before
+    assert len(left) == 3 and all(p.endswith("-settled") for p in left)
+    rows = sorted(map(tuple, df.collect()), key=str)
+    assert rows and rows == sorted(map(tuple, df.collect()), key=str)
+
+
+def test_settled_queries_leave_no_shuffle(spark):
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffles = lambda: {f for d in root.localDirsString() for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    before = shuffles()
+    kept = q_content.settled(spark.range(1000).repartition(7, "id").groupBy((F.col("id") % 10).alias("k")).count())
+    assert not shuffles() - before and kept.count() == 10
